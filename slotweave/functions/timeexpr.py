@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 MICROS = 1_000_000
+DAY_US = 86_400 * MICROS
 
 
 def micros(ts: Column | str) -> Column:
