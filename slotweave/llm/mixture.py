@@ -48,7 +48,7 @@ def budgets(sizes: DataFrame, targets: DataFrame, fractions: Sequence[float]) ->
 
 
 def thresholds(sizes: DataFrame, plan: DataFrame) -> DataFrame:
-    """Adds ``below``: records of the source with a hash under it make up the rest, as closely from below as whole records allow."""
+    """Adds ``below``: records of the source with a hash under it make up the rest, as closely as whole records allow."""
     state = plan.withColumn("below", F.lit(0).cast("long")).withColumn("left", F.col("rest").cast("double"))
     rows = sizes.select("source", "h", "size").where(F.col("source").isNotNull())
     shift = BITS
@@ -70,7 +70,11 @@ def thresholds(sizes: DataFrame, plan: DataFrame) -> DataFrame:
         state = state.withColumn("below", F.col("below") + F.shiftleft(step.cast("long"), shift))
         state = state.withColumn("left", F.col("left") - F.coalesce(F.col("taken"), F.lit(0))).drop("digit", "taken")
         state = cut(state)
-    return state.drop("left")
+    # the record at the boundary itself comes in if that ends nearer to the budget
+    edge = rows.join(state.select("source", "fraction", "below"), "source").where(F.col("h") == F.col("below")).groupBy("source", "fraction").agg(F.sum("size").alias("s"))
+    state = state.join(edge, ["source", "fraction"], "left")
+    near = F.when(F.col("s") - F.col("left") < F.col("left"), 1).otherwise(0)
+    return state.withColumn("below", F.col("below") + near).drop("left", "s")
 
 
 def mix(sizes: DataFrame, targets: DataFrame, *, fractions: Sequence[float] = (1.0,)) -> tuple[DataFrame, DataFrame]:

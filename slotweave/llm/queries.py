@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slotweave.functions.timeexpr import DAY_US, floor_us, iso_utc_us, micros
-from slotweave.llm import bpe, mixture, nearest, sketch
+from slotweave.llm import bpe, mixture, nearest, sketch, toxicity
 from slotweave.runtime import cut, table
 
 TOLERANCE_S, FIRST_RING_S = 15 * 60, 5 * 60
@@ -65,7 +65,24 @@ def p9_shares(spark: SparkSession, base: str) -> DataFrame:
     return shares.select("fraction", "source", F.round("target_share", 9).alias("target_share"), F.col("want").cast("long").alias("want"), F.col("got").cast("long").alias("got"), F.round("share", 9).alias("share"), "repeats")
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p7_percentiles, p7_daily_sketch, p8_ids, p9_mixture, p9_shares)}
+def p10_scores(spark: SparkSession, base: str) -> DataFrame:
+    """Every document with its score and verdict."""
+    docs = table(spark, base, "documents")
+    model = toxicity.fit(docs, table(spark, base, "doc_labels"))
+    return toxicity.score(docs, model, keep=["doc_id", "source"])
+
+
+def p10_found(spark: SparkSession, base: str) -> DataFrame:
+    return p10_scores(spark, base).where("flagged").select("doc_id").distinct()
+
+
+def p10_rates(spark: SparkSession, base: str) -> DataFrame:
+    """Flagged documents per source; documents without source are a group of their own."""
+    s = p10_scores(spark, base).groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.count_if("flagged").alias("n_flagged"))
+    return s.withColumn("rate", F.round(F.col("n_flagged") / F.col("n_docs"), 9))
+
+
+QUERIES = {f.__name__: f for f in (p4_found, p7_percentiles, p7_daily_sketch, p8_ids, p9_mixture, p9_shares, p10_scores, p10_found, p10_rates)}
 
 _KEY = "nullif(regexp_replace(trim(station_id), '^0+(.)', '\\1'), '')"
 _G = "ln((1 + 0.01) / (1 - 0.01))"
