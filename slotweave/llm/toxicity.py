@@ -39,6 +39,8 @@ DULL = 0.8
 LEAST_WORDS = 3
 LEAST = 1.0
 LEVEL = 0.01
+#: Log-odds a passage needs against the odds of one in 150 that a document offends.
+LEAST_SUM = 5.0
 KEEP_CHUNKS = 300_000
 
 #: Look-alike letters of other scripts.
@@ -186,7 +188,7 @@ class Model:
         keyed = sorted((self.vocabulary[a] * m + self.vocabulary[b], s) for (a, b), s in pairs.items())
         self.pair_keys = np.array([k for k, _ in keyed] or [-1], np.int64)
         self.pair_scores = np.array([s for _, s in keyed] or [0.0])
-        self.rate, self.k = 1.5, 0.001
+        self.rate, self.k = 0.5, 0.0002
 
     def scores(self, ids: np.ndarray, n: np.ndarray) -> np.ndarray:
         out = self.single[ids]
@@ -212,14 +214,13 @@ class Model:
     def calibrate(self, best: np.ndarray, n: np.ndarray) -> None:
         """Fit the tail of clean documents' best segments: P(best > x) = 1 - exp(-K n exp(-rate x)).
 
-        The top three in a hundred are left out, as labels err.
+        The rate comes from the median, as labels err.
         """
-        if not len(best):
+        up = best[best > 0]
+        if len(up) < 5:
             return
-        kept = best <= np.quantile(best, 0.97)
-        up = best[kept & (best > 0)]
-        self.rate = float(np.clip((len(up) + 2) / (up.sum() + 1.5), 0.8, 3.5))
-        self.k = (len(up) + 2) / (n[kept].sum() + 1000)
+        self.rate = float(np.clip(math.log(2) / np.median(up), 0.1, 2.0))
+        self.k = len(up) / max(n.sum(), 1)
 
     def chance(self, best: float, n: int) -> float:
         """Probability that a clean document of ``n`` words has a segment as good."""
@@ -272,22 +273,22 @@ def doc_features(texts: list[str | None], spans: list[list[tuple[int, int]]] | N
             yield k, *p
 
 
-def wide(found: list[tuple[int, int, float]], n: int, least: float, pad: int = 3, most: int = 12) -> list[tuple[int, int]]:
+def wide(found: list[tuple[int, int, float]], n: int, least: float, pad: int = 0, most: int = 12) -> list[tuple[int, int]]:
     """The best segments (``least`` at least) with some words around."""
     top = sorted((x for x in found if x[2] >= least), key=lambda x: -x[2])[:most]
     return [(max(0, a - pad), min(n, b + pad)) for a, b, _ in top]
 
 
-def model_of(counts: pd.DataFrame, n1: float, n0: float, passages: pd.DataFrame | None = None, s1: float = 0.0, s0: float = 0.0) -> Model:
-    """Scores from document counts and, if given, from counts over the best passages of offending and of clean documents.
+def model_of(counts: pd.DataFrame, n1: float, n0: float, passages: pd.DataFrame | None = None, s1: float = 0.0) -> Model:
+    """Scores from document counts; given passages, of offending documents only these count, against whole clean documents.
 
-    Passages tell offending words from what merely surrounds them, and harmless use from hostile use.
+    So what merely surrounds offending words loses its score, and harmless use of the same words tells against them.
     """
+    if passages is not None and s1 > 1:
+        counts = counts[["a", "b", "c0"]].merge(passages[["a", "b", "c1"]], how="left", on=["a", "b"]).fillna({"c1": 0.0})
+        n1 = s1
     c = log_odds(counts, n1, n0)
-    if passages is not None and s1 > 1 and s0 > 1:
-        p = log_odds(passages, s1, s0).rename(columns={"score": "ps"})[["a", "b", "ps"]]
-        c = c.merge(p, how="outer", on=["a", "b"])
-        c["score"] = np.where(c["ps"].isna(), 0.5 * c["score"], np.where(c["score"].isna(), c["ps"], 0.4 * c["score"] + 0.8 * c["ps"]))
+    c = c.assign(score=np.maximum(c["score"], -1.5))
     single, pairs = c[c["b"].isna()], c[c["b"].notna()]
     have = set(single["a"])
     one = dict(zip(single["a"], single["score"]))
@@ -330,8 +331,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str =
     whole, n1, n0 = counted(None)
     model = model_of(whole, n1, n0)
     for _ in range(passages):
-        part, s1, s0 = counted(model)
-        model = model_of(whole, n1, n0, part, s1, s0)
+        part, s1, _ = counted(model)
+        model = model_of(whole, n1, n0, part, s1)
 
     def bests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = Words(model.vocabulary)
@@ -357,9 +358,9 @@ def score(docs: DataFrame, model: Model, *, keep: list[str], text: str = "text",
         for whole in batches:
             for b in slices(whole, text):
                 n, ids = w.sequences(b.column(text))
-                p = [sorted(model.chance(s, int(k)) for _, _, s in found) for found, k in zip(model.best(n, ids), n)]
-                sc = [max(0.0, -math.log10(max(x[0], 1e-300))) if x else 0.0 for x in p]
-                hits = [sum(v < level for v in x) for x in p]
+                best = [sorted((s for _, _, s in found), reverse=True) for found in model.best(n, ids)]
+                sc = [max(0.0, -math.log10(max(model.chance(x[0], int(k)), 1e-300))) if x else 0.0 for x, k in zip(best, n)]
+                hits = [sum(s >= LEAST_SUM and model.chance(s, int(k)) < level for s in x) for x, k in zip(best, n)]
                 yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.array(sc, pa.float64()), pa.array(hits, pa.int32()), pa.array(n), pa.array([h > 0 for h in hits])], [*keep, "score", "n_segments", "n_words", "flagged"])
 
     return docs.select(*keep, text).mapInArrow(work, schema)
