@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from slotweave.plans import problems, problems_sql
+from slotweave.plans import problems, problems_sql, reports
 
-_MODULES = (problems,)
+_MODULES = (problems, reports)
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
