@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from slotweave.plans import problems, problems_sql, reports
+from slotweave.plans import gauges, problems, problems_sql, reports, scoring
 
-_MODULES = (problems, reports)
+_MODULES = (problems, reports, gauges, scoring)
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}

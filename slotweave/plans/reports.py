@@ -207,7 +207,7 @@ def brier_per_point(spark: SparkSession, base: str) -> DataFrame:
 
 
 @query(
-    """WITH t AS (SELECT event_time, point_id, lead_min, CAST(raw_prob AS DOUBLE) AS p, row_number() OVER (PARTITION BY event_time, point_id, lead_min ORDER BY raw_prob DESC NULLS LAST) AS k FROM calibration_corpus WHERE raw_prob IS NOT NULL AND NOT isnan(raw_prob))
+    """WITH t AS (SELECT event_time, point_id, lead_min, CAST(raw_prob AS DOUBLE) AS p, row_number() OVER (PARTITION BY event_time, point_id, lead_min ORDER BY raw_prob DESC NULLS LAST) AS k FROM calibration_corpus WHERE isfinite(raw_prob))
 SELECT event_time, point_id, lead_min, round(p, 6) AS p, round(max(p) OVER (PARTITION BY event_time, point_id ORDER BY lead_min), 6) AS p_monotone FROM t WHERE k = 1"""
 )
 def lead_monotone(spark: SparkSession, base: str) -> DataFrame:
