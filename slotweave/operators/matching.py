@@ -16,10 +16,21 @@ from slotweave.functions.timeexpr import MICROS
 
 
 def bursts(rows: DataFrame, station: str, us: str, gap_min: int) -> DataFrame:
-    """Adds ``burst``: a new number wherever more than ``gap_min`` passed since the station's row before."""
+    """Adds ``burst``, a new number wherever more than ``gap_min`` passed since the station's row before, and ``block``.
+
+    A block takes the bursts that begin in the same thirty days, so that groups are neither tiny nor a whole history.
+    """
     w = W.partitionBy(station).orderBy(us)
     new = F.when(F.col(us) - F.lag(us).over(w) > gap_min * 60 * MICROS, 1).otherwise(0)
-    return rows.withColumn("__new", new).withColumn("burst", F.sum("__new").over(w.rangeBetween(W.unboundedPreceding, 0))).drop("__new")
+    rows = rows.withColumn("__new", new).withColumn("burst", F.sum("__new").over(w.rangeBetween(W.unboundedPreceding, 0))).drop("__new")
+    start = F.min(us).over(W.partitionBy(station, "burst"))
+    return rows.withColumn("block", F.floor(start / F.lit(30 * 86400 * MICROS)))
+
+
+def parts(t: pa.Table) -> list[pa.Table]:
+    """The bursts in a group."""
+    b = t.column("burst").to_numpy()
+    return [t.take(pa.array(np.flatnonzero(b == k))) for k in np.unique(b)]
 
 
 def match_warnings(warnings: DataFrame, onsets: DataFrame, *, lead_min: int = 30, tolerance_min: int = 10, useful_min: int = 5) -> DataFrame:
@@ -33,7 +44,7 @@ def match_warnings(warnings: DataFrame, onsets: DataFrame, *, lead_min: int = 30
     both = both.unionByName(onsets.select("station_id", F.lit(None).cast("long").alias("warning_id"), F.col("onset_us").alias("us"), "onset_us"))
     both = bursts(both, "station_id", "us", lead_min + tolerance_min)
 
-    def work(key: tuple, t: pa.Table) -> pa.Table:
+    def one(key: tuple, t: pa.Table) -> pa.Table:
         us, wid, onset = (t.column(c).to_numpy(zero_copy_only=False) for c in ("us", "warning_id", "onset_us"))
         is_on = ~np.isnan(onset.astype(float))
         on = np.sort(us[is_on])
@@ -54,7 +65,10 @@ def match_warnings(warnings: DataFrame, onsets: DataFrame, *, lead_min: int = 30
         c = list(zip(*out)) if out else [()] * 4
         return pa.table({"station_id": pa.array([key[0].as_py()] * len(out), pa.string()), "event_us": pa.array(c[0], pa.int64()), "warning_id": pa.array(c[1], pa.int64()), "onset_us": pa.array(c[2], pa.int64()), "outcome": pa.array(c[3], pa.string())})
 
-    return both.groupBy("station_id", "burst").applyInArrow(work, "station_id string, event_us long, warning_id long, onset_us long, outcome string")
+    def work(key: tuple, t: pa.Table) -> pa.Table:
+        return pa.concat_tables([one(key, x) for x in parts(t)])
+
+    return both.groupBy("station_id", "block").applyInArrow(work, "station_id string, event_us long, warning_id long, onset_us long, outcome string")
 
 
 def step(state: dict, us: int, p: float | None, raining: bool, threshold: float, persistence: int, rearm_us: int, clear_after: int) -> str:
@@ -101,11 +115,11 @@ def replay(decisions: DataFrame, *, thresholds: list[int], persistence: int = 1,
     """Actions of the rule over each station's coverage runs for every threshold (percent).
 
     ``decisions``: ``station_id, us, row_id, p, raining``. Result: ``thr, station_id, row_id, us, action`` for rows with an action.
-    State starts anew with each run, so (station, run, threshold) is the group.
+    State starts anew with each run, so groups end where runs end.
     """
     rows = bursts(decisions, "station_id", "us", gap_min).withColumn("thr", F.explode(F.array(*[F.lit(t) for t in thresholds])))
 
-    def work(key: tuple, t: pa.Table) -> pa.Table:
+    def one(key: tuple, t: pa.Table) -> pa.Table:
         thr = key[2].as_py()
         us, rid = t.column("us").to_pylist(), t.column("row_id").to_pylist()
         p, wet = t.column("p").to_pylist(), t.column("raining").to_pylist()
@@ -117,4 +131,7 @@ def replay(decisions: DataFrame, *, thresholds: list[int], persistence: int = 1,
         c = list(zip(*out)) if out else [()] * 5
         return pa.table({"thr": pa.array(c[0], pa.int32()), "station_id": pa.array(c[1], pa.string()), "row_id": pa.array(c[2], pa.int64()), "us": pa.array(c[3], pa.int64()), "action": pa.array(c[4], pa.string())})
 
-    return rows.groupBy("station_id", "burst", "thr").applyInArrow(work, "thr int, station_id string, row_id long, us long, action string")
+    def work(key: tuple, t: pa.Table) -> pa.Table:
+        return pa.concat_tables([one(key, x) for x in parts(t)])
+
+    return rows.groupBy("station_id", "block", "thr").applyInArrow(work, "thr int, station_id string, row_id long, us long, action string")

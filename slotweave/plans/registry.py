@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from slotweave.plans import gauges, problems, problems_sql, reports, scoring
+from slotweave.plans import gauges, grids, problems, problems_sql, reports, scoring
 
-_MODULES = (problems, reports, gauges, scoring)
+_MODULES = (problems, reports, gauges, scoring, grids)
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
