@@ -80,17 +80,17 @@ def thresholds(sizes: DataFrame, plan: DataFrame) -> DataFrame:
 def mix(sizes: DataFrame, targets: DataFrame, *, fractions: Sequence[float] = (1.0,)) -> tuple[DataFrame, DataFrame]:
     """(records with ``copies`` per budget, shares reached).
 
-    ``sizes``: ``source, h, size`` and any further columns (kept); records of size 0 or null, or of a source without target, are not
+    ``sizes``: ``source, h, size`` and any further columns (kept, but for ``fraction`` and ``copies``); records of size 0 or null, or of a source without target, are not
     chosen. The first result has ``fraction, source, ..., copies`` (at least 1 and at most the source's cap). The second has
     ``fraction, source, target_share, want, got, share, repeats`` for each source with a target and records.
     """
-    sizes = sizes.where(F.col("size") > 0)
+    sizes = sizes.where(F.col("size") > 0).drop("fraction", "copies")
     plan = thresholds(sizes, cut(budgets(sizes, targets, fractions)))
-    t = plan.select("source", "fraction", F.col("copies").alias("__k"), "below", "cap")
-    chosen = sizes.join(t, "source").withColumn("copies", (F.col("__k") + F.when(F.col("h") < F.col("below"), 1).otherwise(0)).cast("int"))
-    chosen = chosen.where("copies > 0 and copies <= cap")
+    t = plan.select("source", "fraction", F.col("copies").alias("__k"), F.col("below").alias("__below"), F.col("cap").alias("__cap"))
+    chosen = sizes.join(t, "source").withColumn("copies", (F.col("__k") + F.when(F.col("h") < F.col("__below"), 1).otherwise(0)).cast("int"))
+    chosen = chosen.where("copies > 0 and copies <= __cap")
     got = chosen.groupBy("fraction", "source").agg(F.sum(F.col("size") * F.col("copies")).alias("got"), F.max("copies").alias("repeats"))
     shares = plan.join(got, ["fraction", "source"], "left").withColumn("got", F.coalesce("got", F.lit(0)))
     total = F.sum("got").over(W.partitionBy("fraction"))
     shares = shares.select("fraction", "source", F.col("share").alias("target_share"), F.col("want"), "got", (F.col("got") / F.when(total > 0, total)).alias("share"), F.coalesce("repeats", F.lit(0)).alias("repeats"))
-    return chosen.drop("__k", "below", "cap"), shares
+    return chosen.drop("__k", "__below", "__cap"), shares
