@@ -156,6 +156,8 @@ def additive_outliers(us: np.ndarray, y: np.ndarray, kind: Kind, rounds: int = 8
         if kind.log:
             e[:n] = np.where(moving, e[:n], 0)
         sigma = max(1.4826 * np.median(np.abs(e[t_fit])) if len(t_fit) >= 10 else 0.0, floor)
+        if kind.log:  # a dry spell leaves few wet steps; a spike must not be among those that set its own measure
+            sigma = min(sigma, 0.35)
         at = np.flatnonzero(np.abs(e[:n]) > 0.6 * CUT * sigma)
         if not len(at):
             break
