@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from slotweave.plans import gauges, grids, problems, problems_sql, reports, scoring, streams
+from slotweave.plans import extras, gauges, grids, problems, problems_sql, reports, scoring, streams
 
-_MODULES = (problems, reports, gauges, scoring, grids, streams)
+_MODULES = (problems, reports, gauges, scoring, grids, streams, extras)
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
