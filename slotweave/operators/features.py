@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 
 from slotweave.functions.timeexpr import MICROS
 from slotweave.operators.gauge import as_of
-from slotweave.operators.matching import bursts, parts
+from slotweave.operators.matching import bursts
 from slotweave.operators.verification import finite
 
 
@@ -40,18 +40,14 @@ def smoothed(df: DataFrame, *, key: str, us: str, row_id: str, value: str, half_
     """Exponential smoothing with a weight that follows the time passed, started anew after a gap: ``row_id, smooth``."""
     rows = bursts(df.select(F.col(key).alias("station_id"), F.col(us).alias("us"), F.col(row_id).alias("row_id"), F.col(value).cast("double").alias("v")).where("us is not null and v is not null and not isnan(v)"), "station_id", "us", reset_min)
 
-    def one(t: pa.Table) -> list[tuple[int, float]]:
-        state, last, out = None, None, []
-        for u, r, v in sorted(zip(*(t.column(c).to_pylist() for c in ("us", "row_id", "v")))):
-            a = 1.0 if state is None else 1 - 0.5 ** ((u - last) / (half_min * 60 * MICROS))
-            state = v if state is None else state + a * (v - state)
-            last = u
-            out.append((r, state))
-        return out
-
     def work(t: pa.Table) -> pa.Table:
-        o = [x for p in parts(t) for x in one(p)]
-        return pa.table({"row_id": pa.array([x[0] for x in o], pa.int64()), "smooth": pa.array([x[1] for x in o], pa.float64())})
+        run, state, last, out = None, 0.0, 0, []
+        for b, u, r, v in sorted(zip(*(t.column(c).to_pylist() for c in ("burst", "us", "row_id", "v")))):
+            new = b != run
+            state = v if new else state + (1 - 0.5 ** ((u - last) / (half_min * 60 * MICROS))) * (v - state)
+            run, last = b, u
+            out.append((r, state))
+        return pa.table({"row_id": pa.array([x[0] for x in out], pa.int64()), "smooth": pa.array([x[1] for x in out], pa.float64())})
 
     return rows.groupBy("station_id", "block").applyInArrow(work, "row_id long, smooth double")
 

@@ -27,12 +27,6 @@ def bursts(rows: DataFrame, station: str, us: str, gap_min: int) -> DataFrame:
     return rows.withColumn("block", F.floor(start / F.lit(30 * 86400 * MICROS)))
 
 
-def parts(t: pa.Table) -> list[pa.Table]:
-    """The bursts in a group."""
-    b = t.column("burst").to_numpy()
-    return [t.take(pa.array(np.flatnonzero(b == k))) for k in np.unique(b)]
-
-
 def match_warnings(warnings: DataFrame, onsets: DataFrame, *, lead_min: int = 30, tolerance_min: int = 10, useful_min: int = 5) -> DataFrame:
     """Each warning in order of sending takes the earliest onset not yet taken in ``(sent, sent + lead + tolerance]``.
 
@@ -44,7 +38,8 @@ def match_warnings(warnings: DataFrame, onsets: DataFrame, *, lead_min: int = 30
     both = both.unionByName(onsets.select("station_id", F.lit(None).cast("long").alias("warning_id"), F.col("onset_us").alias("us"), "onset_us"))
     both = bursts(both, "station_id", "us", lead_min + tolerance_min)
 
-    def one(key: tuple, t: pa.Table) -> pa.Table:
+    # warnings of one burst cannot reach the onsets of another, so a block is taken in one go
+    def work(key: tuple, t: pa.Table) -> pa.Table:
         us, wid, onset = (t.column(c).to_numpy(zero_copy_only=False) for c in ("us", "warning_id", "onset_us"))
         is_on = ~np.isnan(onset.astype(float))
         on = np.sort(us[is_on])
@@ -65,9 +60,6 @@ def match_warnings(warnings: DataFrame, onsets: DataFrame, *, lead_min: int = 30
         c = list(zip(*out)) if out else [()] * 4
         return pa.table({"station_id": pa.array([key[0].as_py()] * len(out), pa.string()), "event_us": pa.array(c[0], pa.int64()), "warning_id": pa.array(c[1], pa.int64()), "onset_us": pa.array(c[2], pa.int64()), "outcome": pa.array(c[3], pa.string())})
 
-    def work(key: tuple, t: pa.Table) -> pa.Table:
-        return pa.concat_tables([one(key, x) for x in parts(t)])
-
     return both.groupBy("station_id", "block").applyInArrow(work, "station_id string, event_us long, warning_id long, onset_us long, outcome string")
 
 
@@ -119,19 +111,18 @@ def replay(decisions: DataFrame, *, thresholds: list[int], persistence: int = 1,
     """
     rows = bursts(decisions, "station_id", "us", gap_min).withColumn("thr", F.explode(F.array(*[F.lit(t) for t in thresholds])))
 
-    def one(key: tuple, t: pa.Table) -> pa.Table:
+    def work(key: tuple, t: pa.Table) -> pa.Table:
         thr = key[2].as_py()
-        us, rid = t.column("us").to_pylist(), t.column("row_id").to_pylist()
+        us, rid, run = t.column("us").to_pylist(), t.column("row_id").to_pylist(), t.column("burst").to_pylist()
         p, wet = t.column("p").to_pylist(), t.column("raining").to_pylist()
-        state, out = fresh(), []
-        for i in sorted(range(len(us)), key=lambda i: (us[i], rid[i])):
+        state, last, out = fresh(), None, []
+        for i in sorted(range(len(us)), key=lambda i: (run[i], us[i], rid[i])):
+            if run[i] != last:
+                state, last = fresh(), run[i]
             a = step(state, us[i], p[i], bool(wet[i]), thr / 100, persistence, rearm_min * 60 * MICROS, clear_after)
             if a != "none":
                 out.append((thr, key[0].as_py(), rid[i], us[i], a))
         c = list(zip(*out)) if out else [()] * 5
         return pa.table({"thr": pa.array(c[0], pa.int32()), "station_id": pa.array(c[1], pa.string()), "row_id": pa.array(c[2], pa.int64()), "us": pa.array(c[3], pa.int64()), "action": pa.array(c[4], pa.string())})
 
-    def work(key: tuple, t: pa.Table) -> pa.Table:
-        return pa.concat_tables([one(key, x) for x in parts(t)])
-
     return rows.groupBy("station_id", "block", "thr").applyInArrow(work, "thr int, station_id string, row_id long, us long, action string")
