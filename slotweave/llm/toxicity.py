@@ -39,8 +39,8 @@ DULL = 0.8
 LEAST_WORDS = 3
 LEAST = 1.0
 LEVEL = 0.01
-#: Log-odds a passage needs against the odds of one in 150 that a document offends.
-LEAST_SUM = 5.0
+#: Log-odds a passage needs against odds of one in four hundred that a passage offends.
+LEAST_SUM = 6.0
 KEEP_CHUNKS = 300_000
 
 #: Look-alike letters of other scripts.
@@ -299,7 +299,7 @@ def model_of(counts: pd.DataFrame, n1: float, n0: float, passages: pd.DataFrame
     return Model(one, {(a, b): 0.6 * s for a, b, s in zip(pairs["a"], pairs["b"], pairs["score"])})
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", passages: int = 1) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", passages: int = 2) -> Model:
     """Fit on the labelled documents; without any label only the lexicon counts."""
     y = consensus(labels, key=key).orderBy(F.xxhash64(key), key).limit(MAX_LABELLED)
     lab = cut(docs.select(key, text).where(F.col(text).isNotNull()).join(y, key))
