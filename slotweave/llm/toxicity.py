@@ -36,12 +36,13 @@ PRIOR = 20.0
 UNKNOWN = -0.55
 DRIFT = 0.30
 DULL = 0.8
-LEAST_WORDS = 3
 LEAST = 1.0
 LEVEL = 0.01
 #: Log-odds a passage needs against odds of one in four hundred that a passage offends.
 LEAST_SUM = 6.0
 KEEP_CHUNKS = 300_000
+#: Words longer than this are looked at as several written together.
+LONG = 30
 
 #: Look-alike letters of other scripts.
 LOOKALIKE = str.maketrans(
@@ -55,6 +56,7 @@ POINTED = re.compile(r"(?<![^\W_])(?:[^\W_][.\-_*·•]){2,}[^\W_]?(?![^\W_])")
 WORD = re.compile(r"[^\W\d_]+")
 MIXED = re.compile(r"(?=[^\W_]*[013457@$])(?=[^\W_]*[^\W\d_])[\w@$]+")
 ENCODED = re.compile(r"[a-z][A-Z]|[A-Z]{2}[a-z]|[A-Z][0-9][a-zA-Z]|[a-z][0-9]+[A-Z]")
+PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 LETTERLIKE = re.compile(r"[013457@$]")
 #: Offending words of the corpus's languages, as prior evidence (normalised spelling).
 LEXICON = (
@@ -70,9 +72,14 @@ def words_of(chunk: str) -> list[str]:
     """The normalised words in one stretch of text without separators."""
     if chunk.isascii():
         if chunk.isalpha() and (chunk.islower() or chunk.isupper() or chunk.istitle()):
-            return [chunk.lower()] if len(chunk) <= 30 else []
+            return [chunk.lower()]
         if chunk.isalnum() and len(ENCODED.findall(chunk)) >= 2:
-            return []
+            if not chunk.translate(LEET).isalpha():
+                return []  # other digits among changing case: encoded data
+            parts = PART.findall(chunk)
+            if chunk.isalpha() and len(chunk) >= 2.5 * len(parts):  # words joined by capitals
+                return [x.lower() for x in parts]
+            chunk = chunk.lower()  # capitals without meaning
         if "\\" in chunk:
             chunk = re.sub(r"\\[nrtbfv\"'/\\]", " ", ESCAPE.sub(lambda m: chr(int(m[1], 16)), chunk))
     if not chunk.isascii():
@@ -85,7 +92,26 @@ def words_of(chunk: str) -> list[str]:
         chunk = POINTED.sub(lambda m: re.sub(r"[.\-_*·•]", "", m[0]), chunk)
     if not chunk.isalpha() and LETTERLIKE.search(chunk):
         chunk = MIXED.sub(lambda m: m[0].translate(LEET), chunk)
-    return [w for w in WORD.findall(chunk) if len(w) <= 30]
+    return WORD.findall(chunk)
+
+
+def parted(word: str, vocabulary: dict[str, int]) -> list[str]:
+    """A word of more than ``LONG`` letters as the fewest words of the vocabulary, if these are it; else the word."""
+    n = len(word)
+    if n <= LONG or not vocabulary or word in vocabulary:
+        return [word]
+    least: list[tuple[int, int] | None] = [(0, 0)] + [None] * n  # words up to here, begin of the last
+    for j in range(1, n + 1):
+        ways = [(least[i][0] + 1, i) for i in range(max(0, j - LONG), j) if least[i] and word[i:j] in vocabulary]
+        least[j] = min(ways, default=None)
+    if least[n] is None or 3 * least[n][0] > n:
+        return [word]
+    out, j = [], n
+    while j:
+        i = least[j][1]
+        out.append(word[i:j])
+        j = i
+    return out[::-1]
 
 
 #: Bytes of a chunk: letters, digits, all of UTF-8's longer characters, and signs that hide or escape letters.
@@ -107,7 +133,7 @@ class Words:
             if not HAS_LETTER.search(raw):
                 return b""
             v = self.vocabulary
-            got = b"".join([PACK(v.get(w, 0)) for w in words_of(raw.decode("utf-8", "replace"))])
+            got = b"".join([PACK(v.get(x, 0)) for w in words_of(raw.decode("utf-8", "replace")) for x in parted(w, v)])
             if len(self.known) >= KEEP_CHUNKS:
                 self.known.clear()
             if len(raw) <= 40:
@@ -207,7 +233,7 @@ class Model:
         s = self.scores(ids, n)
         at, out = 0, []
         for k in n.tolist():
-            out.append([x for x in segments(s[at : at + k]) if x[1] - x[0] >= LEAST_WORDS])
+            out.append(segments(s[at : at + k]))
             at += k
         return out
 
@@ -262,10 +288,10 @@ def log_odds(counts: pd.DataFrame, n1: float, n0: float) -> pd.DataFrame:
 CHUNK_TEXT = re.compile(r"[0-9A-Za-z_.@$*\\\-\u0080-\U0010ffff]+")
 
 
-def doc_features(texts: list[str | None], spans: list[list[tuple[int, int]]] | None = None) -> Iterator[tuple[int, str, str | None]]:
-    """(text, word, next word or None): the distinct words and pairs of each text, or of the given spans of its words."""
+def doc_features(texts: list[str | None], spans: list[list[tuple[int, int]]] | None = None, vocabulary: dict[str, int] | None = None) -> Iterator[tuple[int, str, str | None]]:
+    """(text, word, next word or None): the distinct words and pairs of each text, or of the given spans of its words (as the vocabulary parts them)."""
     for k, t in enumerate(texts):
-        seq = [w for c in CHUNK_TEXT.findall(t or "") for w in words_of(c)]
+        seq = [x for c in CHUNK_TEXT.findall(t or "") for w in words_of(c) for x in parted(w, vocabulary or {})]
         parts = [seq] if spans is None else [seq[a:b] for a, b in spans[k]]
         for w in {w for p in parts for w in p}:
             yield k, w, None
@@ -315,7 +341,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str =
                     if model:
                         n, ids = w.sequences(b.column(text))
                         spans = [wide(found, int(k), LEAST) for found, k in zip(model.best(n, ids), n)]
-                    f = list(doc_features(texts, spans))
+                    f = list(doc_features(texts, spans, model and model.vocabulary))
                     f += [(k, None, None) for k in range(len(texts)) if spans is None or spans[k]]  # the document itself
                     yield pa.RecordBatch.from_arrays([b.column("y").take(pa.array([x[0] for x in f], pa.int64())), pa.array([x[1] for x in f], pa.string()), pa.array([x[2] for x in f], pa.string())], ["y", "a", "b"])
 

@@ -173,3 +173,15 @@ def test_sequences_keep_documents_apart():
     w = toxicity.Words({"one": 1, "two": 2})
     n, ids = w.sequences(pa.array(["one", "two one", None, "", "...", "onetwo"]))
     assert n.tolist() == [1, 2, 0, 0, 0, 1] and ids.tolist() == [1, 2, 1, 0]
+
+
+def test_two_words_and_joined_spellings_count(spark):
+    assert toxicity.words_of("youAreAnIdiot") == ["you", "are", "an", "idiot"] and toxicity.words_of("IdIoT") == ["idiot"]
+    model = toxicity.Model({"filthy": 4.0, "idiot": 4.0} | {w: -1.0 for w in ("you", "nobody", "wants", "are", "and")}, {("filthy", "idiot"): 2.4})
+    long = "youarefilthyidiotandnobodywantsyou"
+    assert toxicity.parted(long, model.vocabulary) == ["you", "are", "filthy", "idiot", "and", "nobody", "wants", "you"] and toxicity.parted("x" * 40, model.vocabulary) == ["x" * 40]
+    texts = ["x = load(a)  # filthy idiot\nplot(x)", "x = load(a)  # FiLtHy IdIoT", f"plot(x)  # {long}", "x = load(a)  # idiot", "plot(x)"]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id for r in toxicity.score(d, model, keep=["doc_id"]).where("flagged").collect()} == {0, 1, 2}
+    n, ids = toxicity.Words(model.vocabulary).sequences(pa.array([long]))
+    assert sum(b is None for _, _, b in toxicity.doc_features([long], [[(2, 4)]], model.vocabulary)) == 2 and n.tolist() == [8]
