@@ -8,8 +8,9 @@ taken anew; rows are flagged where the additive outlier explains the residuals b
 limits and runs of one value are separated first and do not enter the fit. Rain is judged on a logarithmic scale.
 
 Scale: rows are grouped by (source, block of days), each block with a margin of neighbouring rows, so no
-series ever sits in one task as a whole and a hot source is spread over its blocks. The margin is longer than the
-longest run that has to be seen, hence every row's verdict is the same as over the whole series. One shuffle.
+series ever sits in one task as a whole and a hot source is spread over its blocks. The blocks are kept (one row each) and each source is
+fitted once over all its blocks: sums of products by residual bucket are added up over blocks, trimmed and solved in rounds, the scale comes
+from the same kind of buckets (relative error 1 %). The one row of coefficients per source then goes to its blocks. The rows are shuffled once.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slotweave.functions.timeexpr import micros
+from slotweave.runtime import cut
 
 DAY_US = 86_400_000_000
 
@@ -125,39 +127,65 @@ def shapes_of(f1: float, f2: float, patch: int) -> tuple[list[tuple[str, int, np
     return out, trace
 
 
-def additive_outliers(us: np.ndarray, y: np.ndarray, kind: Kind, rounds: int = 8) -> np.ndarray:
-    """Marks the readings of an ordered series that are additive outliers (patches of up to ``PATCH``)."""
+@dataclass(frozen=True)
+class Fit:
+    """What a source normally shows: step between readings, autoregression, scale of its residuals."""
+
+    step: float
+    c: tuple[float, float, float]
+    sigma: float
+
+
+def steps_of(us: np.ndarray, y: np.ndarray, kind: Kind, step: float) -> tuple[np.ndarray, np.ndarray]:
+    """Readings that have two near predecessors, and those of them that count for the fit."""
+    near = np.r_[False, np.diff(us) <= 6 * max(step, 1)]
+    ok = near & np.r_[False, near[:-1]]
+    ok[:2] = False
+    if not kind.log:
+        return ok, ok
+    # dry spells say nothing of the variation of rain
+    return ok, np.r_[False, False, np.maximum(np.maximum(y[2:], y[1:-1]), y[:-2]) > 0.12] & ok
+
+
+def scale_of(median: float, n: int, kind: Kind) -> float:
+    """Scale from the median of absolute residuals over ``n`` steps."""
+    sigma = max(1.4826 * median if n >= 10 else 0.0, 0.25 if kind.log else 0.5 * kind.step)
+    # few wet steps may be there; a spike must not be among those that set its own measure
+    return min(sigma, 0.35) if kind.log else sigma
+
+
+def fit_series(us: np.ndarray, y: np.ndarray, kind: Kind) -> Fit:
+    """The fit of one series held whole."""
+    step = float(np.median(np.diff(us)))
+    t = np.flatnonzero(steps_of(us, y, kind, step)[1])
+    c = (0.0, 0.9, 0.0) if kind.log and len(t) < 30 else fit_ar2(y, t)
+    e = np.abs(y[t] - c[0] - c[1] * y[t - 1] - c[2] * y[t - 2])
+    return Fit(step, c, scale_of(float(np.median(e)) if len(t) else 0.0, len(t), kind))
+
+
+def additive_outliers(us: np.ndarray, y: np.ndarray, kind: Kind, fit: Fit | None = None) -> np.ndarray:
+    """Marks the readings of an ordered series that are additive outliers (patches of up to ``PATCH``).
+
+    Without ``fit`` the series is held to be whole and fitted itself, from 12 readings on.
+    """
     n = len(y)
     flags = np.zeros(n, bool)
-    if n < 12:
+    if n < (3 if fit else 12):
         return flags
-    dt = np.diff(us)
-    near = np.r_[False, dt <= 6 * max(np.median(dt), 1)]
-    ok = near & np.r_[False, near[:-1]]
-    ok[:2] = False
-    if kind.log:  # dry spells say nothing of the variation of rain
-        moving = np.r_[False, False, np.maximum(np.maximum(y[2:], y[1:-1]), y[:-2]) > 0.12] & ok
-    else:
-        moving = ok
-    t_fit = np.flatnonzero(moving)
-    c0, f1, f2 = fit_ar2(y, t_fit)
-    if kind.log and len(t_fit) < 30:
-        c0, f1, f2 = 0.0, 0.9, 0.0
+    fit = fit or fit_series(us, y, kind)
+    ok, moving = steps_of(us, y, kind, fit.step)
+    (c0, f1, f2), sigma = fit.c, fit.sigma
     y = y.astype(float).copy()
     shapes, trace = shapes_of(f1, f2, 2 if kind.log else PATCH)
     n_spikes = sum(s[0] == "spike" for s in shapes)
     okp = np.r_[ok, np.zeros(HORIZON, bool)].astype(float)
     span = np.arange(HORIZON)
-    floor = 0.25 if kind.log else 0.5 * kind.step
-    for _ in range(rounds):
+    for _ in range(n):  # each round removes something; so it ends
         e = np.zeros(n + HORIZON)
         e[2:n] = y[2:] - c0 - f1 * y[1:-1] - f2 * y[:-2]
         e[:n][~ok] = 0
         if kind.log:
             e[:n] = np.where(moving, e[:n], 0)
-        sigma = max(1.4826 * np.median(np.abs(e[t_fit])) if len(t_fit) >= 10 else 0.0, floor)
-        if kind.log:  # a dry spell leaves few wet steps; a spike must not be among those that set its own measure
-            sigma = min(sigma, 0.35)
         at = np.flatnonzero(np.abs(e[:n]) > 0.6 * CUT * sigma)
         if not len(at):
             break
@@ -195,8 +223,8 @@ def additive_outliers(us: np.ndarray, y: np.ndarray, kind: Kind, rounds: int = 8
     return flags
 
 
-def judge(us: np.ndarray, v: np.ndarray, kind: Kind) -> np.ndarray:
-    """0 = weather, 1 = impossible, 2 = stuck, 3 = spike for readings ordered by time."""
+def apart(us: np.ndarray, v: np.ndarray, kind: Kind) -> tuple[np.ndarray, np.ndarray]:
+    """(0 = left for the series, 1 = impossible, 2 = stuck; values that are never at fault) for readings ordered by time."""
     out = np.zeros(len(v), np.int8)
     never = np.zeros(len(v), bool)
     for x in kind.never:
@@ -206,38 +234,141 @@ def judge(us: np.ndarray, v: np.ndarray, kind: Kind) -> np.ndarray:
     rest = np.flatnonzero(~bad)
     run = longest_runs(us[rest], np.round(v[rest], 3), 6 * 3600e6)
     need = np.where(np.abs(v[rest]) <= kind.small, kind.small_run, kind.run)
-    stuck = rest[(run >= need) & ~never[rest]]
-    out[stuck] = 2
-    if kind.spikes:
-        left = np.flatnonzero(out == 0)
-        if len(left):
-            y = np.log1p(np.maximum(v[left], 0)) if kind.log else v[left]
-            # of several deliveries for an instant the first stands in the series, the others are held against it
-            first = np.r_[True, us[left][1:] != us[left][:-1]]
-            base = np.flatnonzero(first)
-            hit = np.zeros(len(left), bool)
-            hit[base] = additive_outliers(us[left][base], y[base], kind)
-            if len(base) < len(left):
-                owner = np.cumsum(first) - 1
-                for k in np.flatnonzero(~first):
-                    b = base[owner[k]]
-                    lone = y.copy()[base]
-                    if abs(y[k] - y[b]) < 1e-6:
-                        hit[k] = hit[b]
-                        continue
-                    i = owner[k]
-                    lo, hi = max(0, i - 60), min(len(base), i + 60)
-                    lone = lone[lo:hi]
-                    lone[i - lo] = y[k]
-                    hit[k] = additive_outliers(us[left][base][lo:hi], lone, kind)[i - lo]
-            hit &= ~never[left]
-            out[left[hit]] = 3
+    out[rest[(run >= need) & ~never[rest]]] = 2
+    return out, never
+
+
+def series(us: np.ndarray, v: np.ndarray, kind: Kind, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The readings left on the scale judged, and which of them stand in the series (of several for an instant the first)."""
+    y = np.log1p(np.maximum(v[left], 0)) if kind.log else v[left]
+    return y, np.r_[True, us[left][1:] != us[left][:-1]] if len(left) else np.zeros(0, bool)
+
+
+def judge(us: np.ndarray, v: np.ndarray, kind: Kind, fit: Fit | None = None) -> np.ndarray:
+    """0 = weather, 1 = impossible, 2 = stuck, 3 = spike for readings ordered by time."""
+    out, never = apart(us, v, kind)
+    left = np.flatnonzero(out == 0)
+    if not kind.spikes or not len(left):
+        return out
+    y, first = series(us, v, kind, left)
+    base = np.flatnonzero(first)
+    bus, by = us[left][base], y[base]
+    if fit is None and len(base) >= 12:
+        fit = fit_series(bus, by, kind)
+    hit = np.zeros(len(left), bool)
+    hit[base] = additive_outliers(bus, by, kind, fit)
+    owner = np.cumsum(first) - 1
+    for k in np.flatnonzero(~first):  # further deliveries are held against the series, by the same fit
+        i = owner[k]
+        if abs(y[k] - by[i]) < 1e-6:
+            hit[k] = hit[base[i]]
+            continue
+        lo, hi = max(0, i - 60), min(len(base), i + 60)
+        lone = by[lo:hi].copy()
+        lone[i - lo] = y[k]
+        hit[k] = additive_outliers(bus[lo:hi], lone, kind, fit)[i - lo]
+    out[left[hit & ~never[left]]] = 3
     return out
 
 
 REASONS = ("", "impossible", "stuck", "spike")
 
 
+#: Residual buckets: sign x (1 + number), each a hundredth about its middle; smaller ones are 0.
+TINY, GROWTH = 1e-4, 1.02
+SUMS = ("n", "x1", "x2", "x11", "x12", "x22", "z", "z1", "z2")
+SOURCE = ("site", "parameter")
+FITTED = ("step", "c0", "f1", "f2")
+
+
+def bucket(r: np.ndarray) -> np.ndarray:
+    k = np.floor(np.log(np.maximum(np.abs(r), TINY) / TINY) / np.log(GROWTH)).astype(np.int64) + 1
+    return np.where(np.abs(r) < TINY, 0, np.sign(r).astype(np.int64) * k)
+
+
+def middle(b: np.ndarray) -> np.ndarray:
+    return np.sign(b) * np.where(b == 0, 0.0, TINY * GROWTH ** (np.abs(b) - 0.5))
+
+
+def weighted_median(x: np.ndarray, n: np.ndarray) -> float:
+    o = np.argsort(x, kind="stable")
+    c = np.cumsum(n[o])
+    return float(x[o][np.searchsorted(c, 0.5 * c[-1])])
+
+
+def solved(b: np.ndarray, sums: np.ndarray, c: tuple[float, float, float], keep_at: float) -> tuple[float, float, float]:
+    """One round of trimmed least squares from the sums by residual bucket; as ``fit_ar2``."""
+    r, n = middle(b), sums[:, 0]
+    r = r - weighted_median(r, n)
+    k = np.abs(r) <= keep_at * (1.4826 * weighted_median(np.abs(r), n) + 1e-9)
+    n, x1, x2, x11, x12, x22, z, z1, z2 = sums[k].sum(axis=0)
+    if sums[:, 0].sum() < 30 or n < 20:
+        return c
+    g = np.array([[n, x1, x2], [x1, x11, x12], [x2, x12, x22]])
+    return tuple(np.linalg.solve(g + 1e-9 * np.trace(g) * np.eye(3), np.array([z, z1, z2])))
+
+
+def fit_sources(blocks: DataFrame, kinds: dict[str, Kind], block: int) -> DataFrame:
+    """``site, parameter, step, c0, f1, f2, sigma``: one row per source, from all its blocks."""
+    fields = "site string, parameter string, step double, c0 double, f1 double, f2 double"
+
+    def binned(fit: DataFrame | None) -> DataFrame:
+        """Sums by bucket of the residuals; before there is a fit, readings by their distance in seconds from the one before."""
+        unknown = fit is None
+
+        def work(batches):
+            for t in batches:
+                for row in t.to_pylist():
+                    us, y = np.frombuffer(row["bus"], np.int64), np.frombuffer(row["by"])
+                    own = (us >= row["block"] * block) & (us < (row["block"] + 1) * block)
+                    own[:1] = False
+                    if unknown:
+                        at = np.flatnonzero(own)
+                        b, m, c = np.round((us[at] - us[at - 1]) / 1e6).astype(np.int64), np.zeros((len(at), len(SUMS))), (0.0, 0.0, 1.0, 0.0)
+                        m[:, 0] = 1
+                    else:
+                        c = tuple(row[x] for x in FITTED)
+                        at = np.flatnonzero(own & steps_of(us, y, kinds.get(row["parameter"], Kind()), c[0])[1]) if len(y) > 2 else np.zeros(0, np.int64)
+                        z, p, q = y[at], y[at - 1], y[at - 2]
+                        b = bucket(z - c[1] - c[2] * p - c[3] * q)
+                        m = np.column_stack([np.ones(len(at)), p, q, p * p, p * q, q * q, z, p * z, q * z])
+                    names, inv = np.unique(b, return_inverse=True)
+                    if not len(names):  # a source without any step keeps its row
+                        names, m, inv = np.zeros(1, np.int64), np.zeros((1, len(SUMS))), np.zeros(1, np.int64)
+                    cols = [pa.array(np.bincount(inv, m[:, i], len(names))) for i in range(len(SUMS))]
+                    same = [pa.array([x] * len(names), pa.string()) for x in (row["site"], row["parameter"])] + [pa.array([x] * len(names), pa.float64()) for x in c]
+                    yield pa.RecordBatch.from_arrays([*same, pa.array(names), *cols], [*SOURCE, *FITTED, "b", *SUMS])
+
+        rows = blocks.select(*SOURCE, "block", "bus", "by")
+        rows = rows if unknown else rows.join(F.broadcast(fit), list(SOURCE))
+        out = rows.mapInArrow(work, fields + ", b long, " + ", ".join(f"{x} double" for x in SUMS))
+        return out.groupBy(*SOURCE, *FITTED, "b").agg(*[F.sum(x).alias(x) for x in SUMS])
+
+    def fitted(sums: DataFrame, stage: int) -> DataFrame:
+        def work(t: pa.Table) -> pa.Table:
+            kind = kinds.get(t.column("parameter")[0].as_py(), Kind())
+            b, m = t.column("b").to_numpy(), np.column_stack([t.column(x).to_numpy() for x in SUMS])
+            step, *c = (t.column(x)[0].as_py() for x in FITTED)
+            n, sigma = m[:, 0].sum(), 0.0
+            if stage == 0:
+                step = weighted_median(b.astype(float), m[:, 0]) * 1e6 if n else 6e8
+            elif stage <= 3:
+                c = solved(b, m, tuple(c), (3.0, 3.0, 3.5)[stage - 1]) if n else c
+                if kind.log and n < 30:
+                    c = (0.0, 0.9, 0.0)
+            else:
+                sigma = scale_of(weighted_median(np.abs(middle(b)), m[:, 0]) if n else 0.0, n, kind)
+            row = [step, *c] + ([sigma] if stage == 4 else [])
+            return pa.table([t.column("site")[:1], t.column("parameter")[:1], *[pa.array([float(x)]) for x in row]], [*SOURCE, *FITTED, *(["sigma"] if stage == 4 else [])])
+
+        return sums.groupBy(*SOURCE).applyInArrow(work, fields + (", sigma double" if stage == 4 else ""))
+
+    fit = None
+    for stage in range(5):
+        fit = fitted(binned(fit), stage)
+    return fit
+
+
 def flag_faults(
     df: DataFrame, *, source: tuple[str, str] = ("station_id", "parameter_id"), ts: str = "observed_utc", value: str = "value", row_id: str = "obs_id", kinds: dict[str, Kind] | None = None, block_days: int = 16, margin_hours: int = 24
 ) -> DataFrame:
@@ -245,7 +376,7 @@ def flag_faults(
 
     ``source`` names the site and the parameter; parameters without an entry in ``kinds`` have no physical limits.
     Rows with null or NaN value, or without source, time or id, are never cases. A second delivery is judged by
-    its own value. Series shorter than 12 readings are held only against limits and runs. Empty input gives no rows.
+    its own value, with the fit of its source over all its rows. Empty input gives no rows.
     """
     kinds = KINDS if kinds is None else kinds
     block, margin = block_days * DAY_US, margin_hours * 3_600_000_000
@@ -255,16 +386,32 @@ def flag_faults(
     rows = rows.where("site is not null and parameter is not null and us is not null and v is not null and not isnan(v) and id is not null")
     rows = rows.withColumn("block", F.explode(F.array_distinct(F.array(of(F.col("us") - F.lit(margin)), of(F.col("us")), of(F.col("us") + F.lit(margin))))))
 
-    def work(key: tuple, t: pa.Table) -> pa.Table:
-        parameter, b = key[1].as_py(), key[2].as_py()
+    def gather(key: tuple, t: pa.Table) -> pa.Table:
+        site, parameter, b = (x.as_py() for x in key)
         us, v, ids = t.column("us").to_numpy(), t.column("v").to_numpy().astype(float), t.column("id").to_numpy()
         o = np.lexsort((ids, us))
         us, v, ids = us[o], v[o], ids[o]
+        kind = kinds.get(parameter, Kind())
+        bus, by = us[:0], v[:0]
         core = (us >= b * block) & (us < (b + 1) * block)
-        if not core.any():
-            return pa.table({"id": pa.array([], pa.int64()), "reason": pa.array([], pa.string())})
-        r = judge(us, v, kinds.get(parameter, Kind()))
-        k = np.flatnonzero(core & (r > 0))
-        return pa.table({"id": pa.array(ids[k]), "reason": pa.array([REASONS[x] for x in r[k]], pa.string())})
+        if kind.spikes and core.any():
+            left = np.flatnonzero(apart(us, v, kind)[0] == 0)
+            y, first = series(us, v, kind, left)
+            bus, by = us[left][first], y[first]
+        keep = [pa.array([x.tobytes()], pa.binary()) for x in (us, v, ids, bus, by)] if core.any() else [pa.array([], pa.binary())] * 5
+        n = int(core.any())
+        return pa.table([pa.array([site] * n, pa.string()), pa.array([parameter] * n, pa.string()), pa.array([b] * n, pa.int32()), *keep], ["site", "parameter", "block", "us", "v", "ids", "bus", "by"])
+
+    blocks = cut(rows.groupBy("site", "parameter", "block").applyInArrow(gather, "site string, parameter string, block int, us binary, v binary, ids binary, bus binary, by binary"))
+
+    def work(batches):
+        for t in batches:
+            for x in t.to_pylist():
+                us, v, ids = np.frombuffer(x["us"], np.int64), np.frombuffer(x["v"]), np.frombuffer(x["ids"], np.int64)
+                core = (us >= x["block"] * block) & (us < (x["block"] + 1) * block)
+                r = judge(us, v, kinds.get(x["parameter"], Kind()), Fit(x["step"], (x["c0"], x["f1"], x["f2"]), x["sigma"]))
+                k = np.flatnonzero(core & (r > 0))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[k]), pa.array([REASONS[i] for i in r[k]], pa.string())], ["id", "reason"])
 
-    return rows.groupBy("site", "parameter", "block").applyInArrow(work, "id long, reason string").withColumnRenamed("id", row_id)
+    fit = fit_sources(blocks, kinds, block)
+    return blocks.join(F.broadcast(fit), list(SOURCE)).mapInArrow(work, "id long, reason string").withColumnRenamed("id", row_id)

@@ -228,3 +228,15 @@ def test_history_query_matches_sql(spark):
       SELECT station_id, strftime(CAST(valid_from AT TIME ZONE 'UTC' AS TIMESTAMP), '%Y-%m-%dT%H:%M:%SZ') FROM l
       WHERE abs(h - ph) >= 0.25 OR 12742017.6 * asin(sqrt(pow(sin(radians(lat - plat) / 2), 2) + cos(radians(lat)) * cos(radians(plat)) * pow(sin(radians(lon - plon) / 2), 2))) >= 50""").fetchall()
     assert {tuple(r) for r in problems.p2_found(spark, BASE).collect()} == set(want)
+
+
+def test_a_source_is_fitted_over_all_its_blocks(spark):
+    """A short block after a long outage is judged by the source's history, as the whole series would be."""
+    v = np.round(series(2400, seed=4), 1)
+    at = [*range(2400), *range(6000, 6010)]
+    v = np.r_[v, np.round(series(10, seed=5), 1)]
+    v[2403] += 12
+    data = [(i, "s", T0 + dt.timedelta(minutes=10 * m), "temp_dry", float(x), None, "", "", 0, 0, "") for i, (m, x) in enumerate(zip(at, v))]
+    data.append((9000, "s", T0 + dt.timedelta(minutes=10 * at[2407]), "temp_dry", float(v[2407] - 12), None, "", "", 0, 0, ""))
+    got = {r.obs_id for r in spikes.flag_faults(spark.createDataFrame(data, OBS)).where("reason = 'spike'").collect()}
+    assert got == {2403, 9000}
