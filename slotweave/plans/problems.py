@@ -28,9 +28,10 @@ def tenths(value: str = "value"):
     return F.when(v.isNotNull() & ~F.isnan(v), F.round(F.greatest(v, F.lit(0.0)) * 10)).cast("long")
 
 
-def rain_changes(spark: SparkSession, base: str) -> DataFrame:
+def rain_changes(spark: SparkSession, base: str, panes: int = 1) -> DataFrame:
+    """Changes of hourly panes, up to the cut-off of the last window of ``panes`` panes over them."""
     return late_panes.pane_changes(
-        rain(spark, base), keys=["station_id"], event="observed_utc", arrival=F.col("created_utc"), amount=tenths(), order="obs_id", pane_min=60, cutoff_min=CUTOFF
+        rain(spark, base), keys=["station_id"], event="observed_utc", arrival=F.col("created_utc"), amount=tenths(), order="obs_id", pane_min=60, cutoff_min=(panes - 1) * 60 + CUTOFF
     )
 
 
@@ -49,7 +50,8 @@ def p1_emissions(spark: SparkSession, base: str) -> DataFrame:
 
 def p1_sliding(spark: SparkSession, base: str) -> DataFrame:
     """Three-hour windows sliding by the hour, composed of hourly panes: as first published and at the cut-off."""
-    r = late_panes.results_at(rain_changes(spark, base), keys=["station_id"], waits_min=[FIRST_WAIT, CUTOFF], panes=3)
+    r = late_panes.results_at(rain_changes(spark, base, 3), keys=["station_id"], waits_min=[FIRST_WAIT, CUTOFF], panes=3)
+    r = r.where(F.col(f"count_{CUTOFF}") > 0)  # windows that ended before any of their readings came have no row
     return r.select("station_id", iso_utc_us(F.col("window_us")).alias("window_utc"), F.col(f"count_{FIRST_WAIT}").alias("n_first"), F.col(f"amount_{FIRST_WAIT}").alias("tenths_first"), F.col(f"count_{CUTOFF}").alias("n_last"), F.col(f"amount_{CUTOFF}").alias("tenths_last"))
 
 

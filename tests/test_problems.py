@@ -65,6 +65,13 @@ def test_sliding_windows_recompose_only_their_panes(spark):
     assert w.count() == 3 and w.select("window_us").distinct().count() == 3
 
 
+def test_sliding_windows_wait_for_their_own_cutoff(spark, monkeypatch):
+    data = [("a", 5, 1.0, 60 + 1440 + 30), ("a", 15, 2.0, 20), ("b", 5, 1.0, 60 + 1440 + 30), ("c", 5, 1.0, 180 + 1440), ("c", 6, 1.0, 180 + 1441)]
+    monkeypatch.setattr(problems, "rain", lambda spark, base: obs(spark, data))
+    got = {(r.station_id, r.window_utc[8:13]): (r.n_last, r.tenths_last) for r in problems.p1_sliding(spark, "").collect()}
+    assert got == {("a", "30T22"): (1, 20), ("a", "30T23"): (2, 30), ("a", "01T00"): (2, 30), ("b", "30T23"): (1, 10), ("b", "01T00"): (1, 10), ("c", "01T00"): (1, 10)}
+
+
 def test_empty_panes(spark):
     assert late_panes.results_at(changes(obs(spark, [])), keys=["station_id"], waits_min=[10]).count() == 0
 
