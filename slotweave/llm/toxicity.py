@@ -111,7 +111,7 @@ def parted(word: str, vocabulary: dict[str, int]) -> list[str]:
         i = least[j][1]
         out.append(word[i:j])
         j = i
-    return out[::-1]
+    return out[::-1] if 2 * len(set(out)) > len(out) else [word]  # one word over and over is a row of letters
 
 
 #: Bytes of a chunk: letters, digits, all of UTF-8's longer characters, and signs that hide or escape letters.

@@ -180,6 +180,7 @@ def test_two_words_and_joined_spellings_count(spark):
     model = toxicity.Model({"filthy": 4.0, "idiot": 4.0} | {w: -1.0 for w in ("you", "nobody", "wants", "are", "and")}, {("filthy", "idiot"): 2.4})
     long = "youarefilthyidiotandnobodywantsyou"
     assert toxicity.parted(long, model.vocabulary) == ["you", "are", "filthy", "idiot", "and", "nobody", "wants", "you"] and toxicity.parted("x" * 40, model.vocabulary) == ["x" * 40]
+    assert toxicity.parted("x" * 40 + "ts", {"xxx": 1, "xts": 2, "xxts": 3}) == ["x" * 40 + "ts"]
     texts = ["x = load(a)  # filthy idiot\nplot(x)", "x = load(a)  # FiLtHy IdIoT", f"plot(x)  # {long}", "x = load(a)  # idiot", "plot(x)"]
     d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert {r.doc_id for r in toxicity.score(d, model, keep=["doc_id"]).where("flagged").collect()} == {0, 1, 2}
