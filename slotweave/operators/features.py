@@ -7,9 +7,9 @@ from collections.abc import Sequence
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from slotweave.functions.timeexpr import MICROS
+from slotweave.operators.blocks import block_of, running_sums
 from slotweave.operators.gauge import as_of
 from slotweave.operators.matching import bursts
 from slotweave.operators.verification import finite
@@ -74,14 +74,11 @@ def guarded_update(old: DataFrame, new: DataFrame, key: str, value: str, evidenc
 def eviction(files: DataFrame, size: str, used: str, tie: str, cap: int) -> DataFrame:
     """Files to drop so that the most recently used ones stay within the cap (``evict``).
 
-    Sizes are summed per day of last use first; the running sum over days decides whole days, and only the day at the border is summed file by file.
+    Running sums from the last use back go over hours of use with one carried row each.
     """
-    day = F.to_date(F.col(used))
-    f = files.withColumn("__d", day)
-    days = f.groupBy("__d").agg(F.sum(size).alias("__s")).withColumn("__to", F.sum("__s").over(W.partitionBy(F.lit(1)).orderBy(F.col("__d").desc_nulls_last())))
-    j = f.join(days.withColumn("__before", F.col("__to") - F.col("__s")), f["__d"].eqNullSafe(days["__d"])).drop(days["__d"])
-    own = F.sum(size).over(W.partitionBy("__d").orderBy(F.col(used).desc_nulls_last(), tie).rowsBetween(W.unboundedPreceding, 0))
-    return j.withColumn("evict", F.col("__before") + own > cap).drop("__d", "__s", "__to", "__before")
+    hour = F.coalesce(block_of(-F.unix_micros(F.col(used).cast("timestamp")), 3600 * MICROS), F.lit(1 << 60))  # unused ones last
+    r = running_sums(files.withColumn("__g", F.lit(1)), ["__g"], [F.col(used).desc_nulls_last(), F.col(tie)], hour, {"__to": F.col(size)})
+    return r.withColumn("evict", F.col("__to") > cap).drop("__g", "__to")
 
 
 def corridor(grid: DataFrame, points: DataFrame, *, length: int, width: int, value: str, threshold: float) -> DataFrame:

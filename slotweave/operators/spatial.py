@@ -1,14 +1,15 @@
 """Points near other points, and regions containing points.
 
-The plane (lon, lat) is cut by a quadtree grown from a bounded sample of the points, so that crowded places
-get small cells. Every point lies in exactly one cell; a site (a station's circle, a region) is copied to
+The plane (lon, lat) is cut by a quadtree grown from bounded samples of the points and of the sites, so that crowded places
+of either get small cells. Every point lies in exactly one cell; a site (a station's circle, a region) is copied to
 every cell its box touches. Each cell's sites are bulk-loaded into a packed R-tree, the cell's points
 probe it, candidates are refined exactly, and a pair counts only in the cell that holds its reference point
-(the point itself), so copies of a site at a border give no pair twice.
+(the point itself), so copies of a site at a border give no pair twice. A cell that no edge of an area touches lies wholly inside or
+outside of it: outside it gets no copy, inside a copy without outline.
 
 Scale: the cell of a crowded place cannot be split below one position, so a cell expected to hold
-more than its share is *salted*: its points spread over several groups and its sites are copied to each.
-Points are reduced to distinct rows before the shuffle. Only the sample (``SAMPLE`` rows at most) reaches
+more than its share is *salted* in both directions: its points are dealt to some groups, its sites to others, and every pair of groups meets once.
+Points are reduced to distinct rows in one shuffle. Only the samples (``SAMPLE`` rows each, about) and one row of extent reach
 the driver; sites are never broadcast.
 """
 
@@ -19,10 +20,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slotweave.functions.geo import EARTH_KM
+from slotweave.functions.geo import EARTH_KM, bearing_deg, haversine_km
 
 SAMPLE = 20_000
 MAX_DEPTH = 14
@@ -32,22 +34,32 @@ FANOUT = 16
 class Quadtree:
     """Leaves of a quadtree over a box, as sorted Z-order ranges at depth ``MAX_DEPTH``."""
 
-    def __init__(self, box: tuple[float, float, float, float], x: np.ndarray, y: np.ndarray, capacity: int):
+    def __init__(self, box: tuple[float, float, float, float], samples: list[tuple[np.ndarray, np.ndarray]], capacities: list[int]):
+        """A cell is split while it holds more than the capacity of any sample (``counts``: one row per sample)."""
         self.x0, self.y0, x1, y1 = box
         self.w, self.h = max(x1 - self.x0, 1e-9), max(y1 - self.y0, 1e-9)
-        codes = np.sort(self.code(x, y))
-        starts, counts, stack = [], [], [(0, 0)]
+        codes = [np.sort(self.code(x, y)) for x, y in samples]
+        starts, depths, counts, stack = [], [], [], [(0, 0)]
         while stack:
             start, depth = stack.pop()
             span = 1 << (2 * (MAX_DEPTH - depth))
-            n = int(np.searchsorted(codes, start + span) - np.searchsorted(codes, start))
-            if n > capacity and depth < MAX_DEPTH:
+            n = [int(np.searchsorted(c, start + span) - np.searchsorted(c, start)) for c in codes]
+            if depth < MAX_DEPTH and any(k > most for k, most in zip(n, capacities)):
                 stack += [(start + i * (span // 4), depth + 1) for i in range(4)]
             else:
                 starts.append(start)
+                depths.append(depth)
                 counts.append(n)
         o = np.argsort(starts)
-        self.starts, self.counts = np.asarray(starts, np.int64)[o], np.asarray(counts, np.int64)[o]
+        self.starts, self.depths, self.counts = np.asarray(starts, np.int64)[o], np.asarray(depths, np.int64)[o], np.asarray(counts, np.int64)[o].T
+
+    def box(self, leaf: int) -> tuple[float, float, float, float]:
+        """The leaf's rectangle, a little larger than it is."""
+        code, size = int(self.starts[leaf]), 1 << (MAX_DEPTH - int(self.depths[leaf]))
+        i = sum(((code >> (2 * b)) & 1) << b for b in range(MAX_DEPTH))
+        j = sum(((code >> (2 * b + 1)) & 1) << b for b in range(MAX_DEPTH))
+        dx, dy = self.w / (1 << MAX_DEPTH), self.h / (1 << MAX_DEPTH)
+        return self.x0 + (i - 1e-6) * dx, self.y0 + (j - 1e-6) * dy, self.x0 + (i + size + 1e-6) * dx, self.y0 + (j + size + 1e-6) * dy
 
     def _cell(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         side = 1 << MAX_DEPTH
@@ -140,6 +152,46 @@ def circle_box(lat: float, lon: float, km: float) -> tuple[float, float, float,
     return lon - dlon, lat - dlat, lon + dlon, lat + dlat
 
 
+def pieces(box: tuple[float, float, float, float]) -> list[tuple[float, float, float, float]]:
+    """A circle's box as boxes within [-180, 180]: one that crosses the 180th meridian falls in two."""
+    a, b, c, d = box
+    if c - a >= 360:
+        return [(-180.0, b, 180.0, d)]
+    if a < -180:
+        return [(-180.0, b, c, d), (a + 360, b, 180.0, d)]
+    if c > 180:
+        return [(a, b, 180.0, d), (-180.0, b, c - 360, d)]
+    return [box]
+
+
+def near_pairs(places: DataFrame, key: str, km: float) -> DataFrame:
+    """Pairs of places within ``km`` of each other, both ways round: ``a, b, km, bearing`` (from a to b).
+
+    ``places``: ``key, lat, lon`` (degrees, longitudes within [-180, 180]). Bands of latitude as high as the distance, each cut into cells at least as wide as the distance is anywhere in
+    the band or its neighbours; a place is copied to the cells its circle can touch in three bands, over the 180th meridian and the poles too. An equi-join, no cross join; rows with a null or NaN value
+    match nothing, equal keys are no pair.
+    """
+    r = km / EARTH_KM
+    size = math.degrees(r) * 1.000001
+    ok = places.select(key, "lat", "lon").where(f"{key} is not null and lat is not null and lon is not null and not isnan(lat) and not isnan(lon)")
+
+    def cells(band: Column) -> Column:
+        """How many cells a band has, by its latitude farthest from the equator (as of the neighbours)."""
+        edge = F.greatest(F.abs(band - 1), F.abs(band + 2)) * F.lit(size)
+        half = F.degrees(F.asin(F.least(F.lit(1.0), F.lit(math.sin(min(r, math.pi / 2))) / F.cos(F.radians(F.least(edge, F.lit(89.999999)))))))
+        return F.when(edge >= 89, 1).otherwise(F.greatest(F.lit(1), F.floor(F.lit(360.0) / (half * 1.000001)))).cast("long")
+
+    at = lambda lon, n: F.floor(F.pmod(lon + 180.0, F.lit(360.0)) / (F.lit(360.0) / n)).cast("long")
+    band = F.floor(F.col("lat") / F.lit(size)).cast("long")
+    a = ok.select(F.col(key).alias("a"), F.col("lat").alias("alat"), F.col("lon").alias("alon"), band.alias("i"), at(F.col("lon"), cells(band)).alias("j"))
+    near = F.explode(F.array(band - 1, band, band + 1))
+    b = ok.select(F.col(key).alias("b"), F.col("lat").alias("blat"), F.col("lon").alias("blon"), near.alias("i")).withColumn("n", cells(F.col("i")))
+    own = at(F.col("blon"), F.col("n"))
+    b = b.withColumn("j", F.explode(F.array_distinct(F.array(*[F.pmod(own + k, F.col("n")) for k in (-1, 0, 1)]))))
+    pairs = a.join(b, ["i", "j"]).where("a <> b").withColumn("km", haversine_km(F.col("alat"), F.col("alon"), F.col("blat"), F.col("blon")))
+    return pairs.where(F.col("km") <= km).select("a", "b", "km", bearing_deg(F.col("alat"), F.col("alon"), F.col("blat"), F.col("blon")).alias("bearing"))
+
+
 #: One site: a circle (``km`` set) or an area (``rings_*`` set), with its box.
 SITE = "kind string, id string, lat double, lon double, km double, rings_lon array<array<double>>, rings_lat array<array<double>>"
 PAIR = "point_id string, found_kind string, found_id string, km double"
@@ -149,58 +201,81 @@ def match_sites(points: DataFrame, sites: DataFrame, *, cell_rows: int = 50_000)
     """Pairs (point, site) with the point within the circle (boundary included) or inside the area.
 
     ``points``: ``point_id, lat, lon``, reduced to distinct rows here. ``sites``: columns of ``SITE``.
-    Points and sites with a null or NaN coordinate match nothing. Areas are judged in straight lon/lat lines; circles that cross
-    the 180th meridian are not joined across it. Result: ``PAIR`` (``km`` null for areas), no pair twice for one
-    position; empty inputs give no rows. ``cell_rows`` is the number of points a group should hold.
+    Points and sites with a null or NaN coordinate match nothing. Areas are judged in straight lon/lat lines; circles are joined
+    across the 180th meridian and the poles (longitudes within [-180, 180]). Result: ``PAIR`` (``km`` null for areas), no pair twice for one
+    position; empty inputs give no rows. ``cell_rows`` is the number of points, and of sites, a group should hold.
     """
     spark = points.sparkSession
     usable = points.select(F.col("point_id").cast("string").alias("point_id"), F.col("lat").cast("double"), F.col("lon").cast("double"))
-    usable = usable.where("point_id is not null and lat is not null and lon is not null and not isnan(lat) and not isnan(lon)").distinct()
-    stat = usable.agg(F.count(F.lit(1)), F.min("lon"), F.min("lat"), F.max("lon"), F.max("lat")).first()
+    usable = usable.where("point_id is not null and lat is not null and lon is not null and not isnan(lat) and not isnan(lon)")
+    stat = usable.agg(F.approx_count_distinct(F.xxhash64("point_id", "lat", "lon")), F.min("lon"), F.min("lat"), F.max("lon"), F.max("lat")).first()
     n, box = stat[0], tuple(stat[1:])
     if not n:
         return spark.createDataFrame([], PAIR)
-    # the sample decides only where cells lie; every point is matched whatever it holds
-    if n > SAMPLE:
-        share = min(1.0, SAMPLE / n)
-        picked = usable.where(F.pmod(F.xxhash64("point_id", "lat", "lon"), F.lit(1_000_000)) < int(share * 1_000_000)).select("lon", "lat").limit(2 * SAMPLE)
-    else:
-        picked = usable.select("lon", "lat")
-    s = np.asarray([tuple(r) for r in picked.collect()], float).reshape(-1, 2)
-    weight = n / max(1, len(s))
-    tree = Quadtree(box, s[:, 0], s[:, 1], max(1, int(cell_rows / weight)))
-    salts = np.maximum(1, np.ceil(tree.counts * weight / (2 * cell_rows))).astype(np.int64)
+
+    # the samples decide only where cells lie; every row is matched whatever they hold
+    def sampled(rows: DataFrame, about: int) -> np.ndarray:
+        if about > SAMPLE:
+            rows = rows.where(F.pmod(F.xxhash64(*rows.columns), F.lit(1_000_000)) < int(SAMPLE / about * 1_000_000)).distinct().limit(2 * SAMPLE)
+        return np.asarray([(r["lon"], r["lat"]) for r in rows.collect()], float).reshape(-1, 2)
+
+    circles = sites.where("km is not null and lat is not null and lon is not null and not isnan(lat) and not isnan(lon)").select("id", F.col("lat").cast("double"), F.col("lon").cast("double"))
+    n_sites = circles.count()
+    s, c = sampled(usable, n), sampled(circles, n_sites)
+    weight, heavy = n / max(1, len(s)), n_sites / max(1, len(c))
+    tree = Quadtree(box, [(s[:, 0], s[:, 1]), (c[:, 0], c[:, 1])], [max(1, int(cell_rows / weight)), max(1, int(cell_rows / heavy))])
+    # groups of points and groups of sites per cell
+    shares = [np.maximum(1, np.ceil(k * x / (2 * cell_rows))).astype(np.int64) for k, x in zip(tree.counts, (weight, heavy))]
 
     def to_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x, y = b.column("lon").to_numpy(), b.column("lat").to_numpy()
             leaf = tree.leaf(x, y)
-            salt = b.column("h").to_numpy() % salts[leaf]
-            yield pa.RecordBatch.from_arrays([pa.array(leaf), pa.array(salt), b.column("point_id"), b.column("lat"), b.column("lon")], ["cell", "salt", "point_id", "lat", "lon"])
+            times = shares[1][leaf]
+            k = np.repeat(np.arange(len(leaf)), times)
+            other = np.arange(len(k)) - np.repeat(np.cumsum(times) - times, times)
+            salt = (b.column("h").to_numpy() % shares[0][leaf])[k] * times[k] + other
+            t = b.take(pa.array(k))
+            yield pa.RecordBatch.from_arrays([pa.array(leaf[k]), pa.array(salt), t.column("point_id"), t.column("lat"), t.column("lon")], ["cell", "salt", "point_id", "lat", "lon"])
 
     def to_all_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out, take = [], []
+            out, take, bare = [], [], []
             for k, r in enumerate(b.to_pylist()):
+                edges = None
                 if r["km"] is not None:
                     if r["lat"] is None or r["lon"] is None or r["lat"] != r["lat"] or r["lon"] != r["lon"]:
                         continue
-                    bb = circle_box(r["lat"], r["lon"], r["km"])
+                    boxes = pieces(circle_box(r["lat"], r["lon"], r["km"]))
                 else:
-                    xs = [v for ring in r["rings_lon"] or [] for v in ring]
-                    ys = [v for ring in r["rings_lat"] or [] for v in ring]
-                    if not xs:
+                    rings = [(np.asarray(p, float), np.asarray(q, float)) for p, q in zip(r["rings_lon"] or [], r["rings_lat"] or []) if len(p)]
+                    if not rings:
                         continue
-                    bb = min(xs), min(ys), max(xs), max(ys)
-                for leaf in tree.leaves_in(*bb):
-                    for salt in range(int(salts[leaf])):
-                        out.append((leaf, salt, *bb))
-                        take.append(k)
-            cols = list(zip(*out)) if out else [()] * 6
+                    ex, ey = (np.concatenate([x[i] for x in rings]) for i in (0, 1))
+                    fx, fy = (np.concatenate([np.roll(x[i], -1) for x in rings]) for i in (0, 1))
+                    edges = np.minimum(ex, fx), np.minimum(ey, fy), np.maximum(ex, fx), np.maximum(ey, fy)
+                    boxes = [(ex.min(), ey.min(), ex.max(), ey.max())]
+                for bb in boxes:
+                    for leaf in tree.leaves_in(*bb):
+                        whole = False
+                        if edges is not None:
+                            x0, y0, x1, y1 = tree.box(leaf)
+                            if not ((edges[0] <= x1) & (edges[2] >= x0) & (edges[1] <= y1) & (edges[3] >= y0)).any():
+                                whole = bool(inside_rings(np.array([(x0 + x1) / 2]), np.array([(y0 + y1) / 2]), rings)[0])
+                                if not whole:
+                                    continue
+                        mine = int(r["h"] % shares[1][leaf])
+                        for salt in range(int(shares[0][leaf])):
+                            out.append((leaf, salt * int(shares[1][leaf]) + mine, *bb, whole))
+                            take.append(k)
+                            bare.append(whole)
+            cols = list(zip(*out)) if out else [()] * 7
             kept = b.take(pa.array(take, pa.int64()))
+            none = pa.array(bare, pa.bool_())
+            rest = [pc.if_else(none, pa.scalar(None, kept.schema.field(x).type), kept.column(x)) if x.startswith("rings") else kept.column(x) for x in names]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), *[pa.array(c, pa.float64()) for c in cols[2:]], *kept.columns],
-                ["cell", "salt", "bx0", "by0", "bx1", "by1", *kept.schema.names],
+                [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), *[pa.array(c, pa.float64()) for c in cols[2:6]], pa.array(cols[6], pa.bool_()), *rest],
+                ["cell", "salt", "bx0", "by0", "bx1", "by1", "whole", *names],
             )
 
     def join(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
@@ -209,16 +284,18 @@ def match_sites(points: DataFrame, sites: DataFrame, *, cell_rows: int = 50_000)
         p, q = RTree(boxes).probe(x, y)
         here = tree.leaf(x[p], y[p]) == key[0].as_py()  # the pair's reference point is the point itself
         p, q = p[here], q[here]
-        kms = right.column("km").to_pylist()
-        ok, dist = np.zeros(len(p), bool), np.full(len(p), np.nan)
-        for site in np.unique(q):
-            m = np.flatnonzero(q == site)
-            if kms[site] is not None:
-                dist[m] = km_between(y[p[m]], x[p[m]], right.column("lat")[site].as_py(), right.column("lon")[site].as_py())
-                ok[m] = dist[m] <= kms[site]
-            else:
-                rings = [(np.asarray(a, float), np.asarray(b, float)) for a, b in zip(right.column("rings_lon")[site].as_py(), right.column("rings_lat")[site].as_py())]
-                ok[m] = inside_rings(x[p[m]], y[p[m]], rings)
+        lat, lon, km = (right.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("lat", "lon", "km"))
+        round_ = ~np.isnan(km[q])
+        ok = right.column("whole").to_numpy(zero_copy_only=False).astype(bool)[q]
+        dist = np.full(len(p), np.nan)
+        dist[round_] = km_between(y[p[round_]], x[p[round_]], lat[q[round_]], lon[q[round_]])
+        ok[round_] = dist[round_] <= km[q[round_]]
+        open_ = np.flatnonzero(~round_ & ~ok)
+        open_ = open_[np.argsort(q[open_], kind="stable")]
+        for part in np.split(open_, np.flatnonzero(np.diff(q[open_])) + 1) if len(open_) else []:
+            site = q[part[0]]
+            rings = [(np.asarray(a, float), np.asarray(b, float)) for a, b in zip(right.column("rings_lon")[site].as_py(), right.column("rings_lat")[site].as_py())]
+            ok[part] = inside_rings(x[p[part]], y[p[part]], rings)
         p, q, dist = p[ok], q[ok], dist[ok]
         return pa.table({
             "point_id": left.column("point_id").take(pa.array(p)), "found_kind": right.column("kind").take(pa.array(q)),
@@ -226,7 +303,9 @@ def match_sites(points: DataFrame, sites: DataFrame, *, cell_rows: int = 50_000)
         })
 
     # the salt hangs on the row alone, so a task that runs again deals its rows alike
-    hashed = usable.withColumn("h", F.pmod(F.xxhash64("point_id", "lat", "lon"), F.lit(1 << 30)))
+    hashed = usable.distinct().withColumn("h", F.pmod(F.xxhash64("point_id", "lat", "lon"), F.lit(1 << 30)))
     left = hashed.mapInArrow(to_cells, "cell long, salt long, point_id string, lat double, lon double")
-    right = sites.selectExpr(*[c.strip().split(" ")[0] for c in SITE.split(", ")]).mapInArrow(to_all_cells, "cell long, salt long, bx0 double, by0 double, bx1 double, by1 double, " + SITE)
+    names = [c.strip().split(" ")[0] for c in SITE.split(", ")]
+    dealt = sites.selectExpr(*names).withColumn("h", F.pmod(F.xxhash64("kind", "id", "lat", "lon"), F.lit(1 << 30)))
+    right = dealt.mapInArrow(to_all_cells, "cell long, salt long, bx0 double, by0 double, bx1 double, by1 double, whole boolean, " + SITE)
     return left.groupBy("cell", "salt").cogroup(right.groupBy("cell", "salt")).applyInArrow(join, PAIR)

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from slotweave.operators.blocks import block_of, running_sums
+
 
 def finite(c: Column) -> Column:
     """Neither null, NaN nor infinite."""
@@ -110,11 +112,14 @@ def warning_scores() -> dict[str, Column]:
 
 
 def by_score(valid: DataFrame, by: Sequence[str], score: str = "p", truth: str = "y") -> DataFrame:
-    """Counts per distinct score with running totals from the highest score down: ``pos, neg, tp, fp, all_pos, all_neg``."""
+    """Counts per distinct score with running totals from the highest score down: ``pos, neg, tp, fp, all_pos, all_neg``.
+
+    Running totals go over a thousand stretches of scores with one carried row each, so no task holds a group's scores.
+    """
     d = valid.groupBy(*by, score).agg(F.sum(F.when(F.col(truth) > 0, 1).otherwise(0)).alias("pos"), F.sum(F.when(F.col(truth) > 0, 0).otherwise(1)).alias("neg"))
-    w = W.partitionBy(*by).orderBy(F.col(score).desc()).rowsBetween(W.unboundedPreceding, 0)
-    a = W.partitionBy(*by)
-    return d.withColumns({"tp": F.sum("pos").over(w), "fp": F.sum("neg").over(w), "all_pos": F.sum("pos").over(a), "all_neg": F.sum("neg").over(a)})
+    tot = d.groupBy(*by).agg(F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg")).withColumnsRenamed({k: f"__k_{k}" for k in by})
+    d = running_sums(d, by, [F.col(score).desc()], -block_of(F.col(score), 1.0 / 1024), {"tp": F.col("pos"), "fp": F.col("neg")})
+    return d.join(tot, [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in by]).drop(*[f"__k_{k}" for k in by])
 
 
 def ranking(valid: DataFrame, by: Sequence[str], score: str = "p", truth: str = "y") -> DataFrame:
@@ -150,3 +155,19 @@ def hash_draw(*cols: Column, seed: int = 0) -> Column:
     """A fixed uniform draw in [0, 1) per row that any engine can repeat (md5)."""
     h = F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), *[c.cast("string") for c in cols])), 1, 8)
     return F.conv(h, 16, 10).cast("double") / F.lit(4294967296.0)
+
+
+def quantiles(df: DataFrame, by: Sequence[str], value: str, probabilities: Sequence[float], width: float = 1.0) -> DataFrame:
+    """``by, n, q0, q1, ...``: exact quantiles with linear interpolation between ranks, null and NaN values left out.
+
+    Rows are counted per distinct value first; running counts go over stretches of ``width`` with one carried row each, so neither a task nor an
+    aggregation buffer holds a group's values. Null groups are groups; a group without values has no row.
+    """
+    d = df.where(finite(F.col(value))).groupBy(*by, F.col(value).cast("double").alias("__x")).agg(F.count(F.lit(1)).alias("__n"))
+    r = running_sums(d, by, [F.col("__x")], block_of(F.col("__x"), width), {"__to": F.col("__n")})
+    tot = d.groupBy(*by).agg(F.sum("__n").alias("n")).withColumnsRenamed({k: f"__k_{k}" for k in by})
+    j = r.join(tot, [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in by]) if by else r.join(F.broadcast(tot))  # without groups the total is one row
+    at = lambda k: F.min(F.when(F.col("__to") > k, F.col("__x")))
+    pos = [F.lit(float(p)) * (F.col("n") - 1) for p in probabilities]
+    g = j.groupBy(*by, "n").agg(*[at(F.floor(x)).alias(f"__l{i}") for i, x in enumerate(pos)], *[at(F.ceil(x)).alias(f"__h{i}") for i, x in enumerate(pos)])
+    return g.select(*by, "n", *[(F.col(f"__l{i}") + (x - F.floor(x)) * (F.col(f"__h{i}") - F.col(f"__l{i}"))).alias(f"q{i}") for i, x in enumerate(pos)])

@@ -109,12 +109,12 @@ def cache_eviction(spark: SparkSession, base: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {_C}, p AS (SELECT vec_id AS id, row, col FROM c WHERE label = 2), j AS (SELECT p.id, p.col - g.col AS s, g.v FROM p JOIN g ON g.row BETWEEN p.row - 1 AND p.row + 1 AND g.col BETWEEN p.col - 8 AND p.col - 1)
+    f"""WITH {_C}, p AS (SELECT vec_id AS id, row, col FROM c), j AS (SELECT p.id, p.col - g.col AS s, g.v FROM p JOIN (SELECT g.*, unnest(range(g.row - 1, g.row + 2)) AS near FROM g) g ON p.row = g.near AND g.col BETWEEN p.col - 8 AND p.col - 1)
 SELECT id, round(max(v) FILTER (s * 2 <= 8), 6) AS near_max, round(max(v), 6) AS far_max, min(s) FILTER (v >= 0.5) AS first_echo, round(avg(CASE WHEN v >= 0.5 THEN 1.0 ELSE 0.0 END), 6) AS wet_share, round(avg(v), 6) AS mean, count(v) AS n FROM j GROUP BY 1"""
 )
 def upstream_corridor(spark: SparkSession, base: str) -> DataFrame:
     g = cells(spark, base)
-    return r6(X.corridor(g, g.where("label = 2").select(F.col("vec_id").alias("id"), "row", "col"), length=8, width=1, value="v", threshold=0.5), "near_max", "far_max", "wet_share", "mean")
+    return r6(X.corridor(g, g.select(F.col("vec_id").alias("id"), "row", "col"), length=8, width=1, value="v", threshold=0.5), "near_max", "far_max", "wet_share", "mean")
 
 
 @query(

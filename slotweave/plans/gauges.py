@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from slotweave.functions import geo
-from slotweave.functions.timeexpr import MICROS, convective_season, iso_utc_us, micros, nearest_mark_us, rounded_slot_sec, slot_end_us
+from slotweave.functions.text import station_number
+from slotweave.functions.timeexpr import MICROS, micros, slot_end_us
 from slotweave.operators import gauge as G
 from slotweave.operators import verification as V
+from slotweave.operators.blocks import block_of, carried
+from slotweave.operators.spatial import near_pairs
 from slotweave.plans.reports import r6
 from slotweave.runtime import table
 
@@ -33,7 +36,7 @@ def slots(spark: SparkSession, base: str) -> DataFrame:
 
 def warnings(spark: SparkSession, base: str) -> DataFrame:
     w = table(spark, base, "warnings_scored").where("station_id is not null and warned_at_utc is not null")
-    return w.withColumn("station_id", F.lpad(F.trim("station_id"), 5, "0")).withColumn("t_us", micros("warned_at_utc"))
+    return w.withColumn("station_id", station_number(F.col("station_id"))).withColumn("t_us", micros("warned_at_utc"))
 
 
 _US = "epoch_us"
@@ -43,7 +46,8 @@ f AS (SELECT station_id, slot_us, max(v) FILTER (parameter_id = 'precip_past10mi
 sp AS (SELECT station_id, min(slot_us) AS a, max(slot_us) AS b FROM f GROUP BY 1),
 g AS (SELECT station_id, unnest(range(a, b + 1, 600000000)) AS slot_us FROM sp),
 s AS (SELECT g.station_id, g.slot_us, mm, dur, CASE WHEN mm IS NOT NULL OR dur IS NOT NULL THEN coalesce(mm >= 0.1, false) OR coalesce(dur >= 1.0, false) END AS wet FROM g LEFT JOIN f USING (station_id, slot_us))"""
-_WARN = "w AS (SELECT *, lpad(trim(station_id), 5, '0') AS sid, epoch_us(warned_at_utc) AS t_us FROM warnings_scored WHERE station_id IS NOT NULL AND warned_at_utc IS NOT NULL)"
+_PAD = lambda c: f"CASE WHEN length(trim({c})) < 5 THEN lpad(trim({c}), 5, '0') ELSE trim({c}) END"
+_WARN = f"w AS (SELECT *, {_PAD('station_id')} AS sid, epoch_us(warned_at_utc) AS t_us FROM warnings_scored WHERE station_id IS NOT NULL AND warned_at_utc IS NOT NULL)"
 _ISO = lambda c: f"strftime(make_timestamp({c}), '%Y-%m-%dT%H:%M:%SZ')"
 _ONSETS = """q AS (SELECT *, sum(CASE WHEN NOT wet THEN 1 ELSE 0 END) OVER (PARTITION BY station_id ORDER BY slot_us ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING) AS dry,
   coalesce(mm, 0) + coalesce(lead(mm) OVER (PARTITION BY station_id ORDER BY slot_us), 0) AS depth FROM s),
@@ -132,24 +136,36 @@ def raining_now_agreement(spark: SparkSession, base: str) -> DataFrame:
     return w.join(slots(spark, base), ["station_id", "slot_us"]).groupBy("station_id").agg(*V.contingency(F.col("p_rain") >= 0.5, F.col("wet")))
 
 
+_TRAIL = """x AS (SELECT station_id, slot_us,
+ sum(mm) OVER h10 AS g_mm_10, sum(mm) OVER h30 AS g_mm_30, sum(mm) OVER h60 AS g_mm_60, count(wet) OVER h30 AS n30, coalesce(bool_or(wet) OVER h30, false) AS w30, count(wet) OVER h60 AS n60, bool_or(wet) OVER h60 AS w60,
+ max(CASE WHEN wet THEN slot_us END) OVER h360 AS lw, max(CASE WHEN wet IS NOT NULL THEN slot_us END) OVER h360 AS lk FROM s
+ WINDOW h10 AS (PARTITION BY station_id ORDER BY slot_us RANGE BETWEEN 0 PRECEDING AND CURRENT ROW), h30 AS (PARTITION BY station_id ORDER BY slot_us RANGE BETWEEN 1200000000 PRECEDING AND CURRENT ROW),
+  h60 AS (PARTITION BY station_id ORDER BY slot_us RANGE BETWEEN 3000000000 PRECEDING AND CURRENT ROW), h360 AS (PARTITION BY station_id ORDER BY slot_us RANGE BETWEEN 21600000000 PRECEDING AND CURRENT ROW))"""
+
+
 @query(
-    f"""WITH {_SLOTS}, x AS (SELECT station_id, slot_us, wet, mm,
- sum(mm) OVER h10 AS g_mm_10, sum(mm) OVER h30 AS g_mm_30, sum(mm) OVER h60 AS g_mm_60, count(wet) OVER h30 AS n30, count(wet) OVER h60 AS n60, bool_or(wet) OVER h60 AS w60,
- max(CASE WHEN wet THEN slot_us END) OVER (PARTITION BY station_id ORDER BY slot_us ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS lw FROM s
- WINDOW h10 AS (PARTITION BY station_id ORDER BY slot_us RANGE BETWEEN 0 PRECEDING AND CURRENT ROW), h30 AS (PARTITION BY station_id ORDER BY slot_us RANGE BETWEEN 1200000000 PRECEDING AND CURRENT ROW), h60 AS (PARTITION BY station_id ORDER BY slot_us RANGE BETWEEN 3000000000 PRECEDING AND CURRENT ROW))
-SELECT station_id, slot_us, round(g_mm_10, 6) AS g_mm_10, round(g_mm_30, 6) AS g_mm_30, round(g_mm_60, 6) AS g_mm_60, n30 AS g_known_30,
- CASE WHEN w60 THEN 0 WHEN n60 = 6 THEN 1 END AS g_dry_60, CAST(least((slot_us - lw) // 60000000, 360) AS BIGINT) AS g_min_since_wet FROM x"""
+    f"""WITH {_SLOTS}, {_TRAIL}
+SELECT station_id, slot_us, round(g_mm_10, 6) AS g_mm_10, round(g_mm_30, 6) AS g_mm_30, round(g_mm_60, 6) AS g_mm_60, n30 AS g_known_30, w30 AS g_wet_30,
+ CASE WHEN w60 THEN 0 WHEN n60 > 0 THEN 1 END AS g_dry_60, CAST((slot_us - lw) // 60000000 AS BIGINT) AS g_min_since_wet FROM x"""
 )
 def gauge_features(spark: SparkSession, base: str) -> DataFrame:
-    """Trailing features of each slot: depths over 10, 30 and 60 minutes, dryness of the hour, minutes since rain."""
-    w = W.partitionBy("station_id").orderBy("slot_us")
-    r = lambda m: w.rangeBetween(-(m - 10) * 60 * MICROS, 0)
-    last = F.max(F.when(F.col("wet"), F.col("slot_us"))).over(w.rowsBetween(W.unboundedPreceding, 0))
-    out = slots(spark, base).select(
-        "station_id", "slot_us", *[F.round(F.sum("mm").over(r(m)), 6).alias(f"g_mm_{m}") for m in (10, 30, 60)], F.count("wet").over(r(30)).alias("g_known_30"),
-        F.when(F.max("wet").over(r(60)), 0).when(F.count("wet").over(r(60)) == 6, 1).alias("g_dry_60"), F.least(F.floor((F.col("slot_us") - last) / F.lit(60 * MICROS)), F.lit(360)).cast("long").alias("g_min_since_wet"),
-    )
-    return out
+    """Trailing features of each slot: depths over 10, 30 and 60 minutes, dryness of the hour, minutes since rain within six hours."""
+    t = G.trailing_features(slots(spark, base))
+    since = F.floor((F.col("slot_us") - F.col("last_wet_us")) / F.lit(60 * MICROS))
+    return t.select("station_id", "slot_us", *[F.round(f"g_mm_{m}", 6).alias(f"g_mm_{m}") for m in (10, 30, 60)], "g_known_30", "g_wet_30", "g_dry_60", since.alias("g_min_since_wet"))
+
+
+@query(
+    f"""WITH {_WARN}, {_SLOTS}, v AS (SELECT warning_id, t_us, (t_us - 600000000) // 600000000 * 600000000 AS h, k.slot_us, k.mm, k.wet FROM w LEFT JOIN s k ON w.sid = k.station_id AND k.slot_us <= t_us - 600000000 AND k.slot_us >= t_us - 21600000000),
+a AS (SELECT warning_id, sum(mm) FILTER (slot_us > h - 600000000) AS m10, sum(mm) FILTER (slot_us > h - 1800000000) AS m30, sum(mm) FILTER (slot_us > h - 3600000000) AS m60, count(wet) AS known,
+ min(t_us - slot_us) FILTER (wet) AS since, bool_or(wet) FILTER (slot_us > h - 3600000000) AS w60, count(wet) FILTER (slot_us > h - 3600000000) AS n60 FROM v GROUP BY 1)
+SELECT warning_id, round(CASE WHEN known > 0 THEN m10 END, 6) AS g_mm_10, round(CASE WHEN known > 0 THEN m30 END, 6) AS g_mm_30, round(CASE WHEN known > 0 THEN m60 END, 6) AS g_mm_60,
+ CASE WHEN known > 0 THEN CAST(coalesce(since // 60000000, 360) AS BIGINT) END AS g_min_since_wet, CASE WHEN w60 THEN 0 WHEN n60 > 0 THEN 1 END AS g_dry_60, CASE WHEN n60 > 0 THEN 1 ELSE 0 END AS g_known FROM a"""
+)
+def decision_gauge_features(spark: SparkSession, base: str) -> DataFrame:
+    """The station's own gauge as seen at each warning, ten minutes behind."""
+    s = G.slot_amounts(table(spark, base, "observations"), after_min=370)
+    return r6(G.features_at(warnings(spark, base), s, station="station_id", at_us="t_us", row_id=["warning_id"]), "g_mm_10", "g_mm_30", "g_mm_60")
 
 
 @query(
@@ -171,18 +187,6 @@ def present(spark: SparkSession, base: str) -> DataFrame:
     return table(spark, base, "station_catalogue").where("operation_to is null and station_id is not null and lat is not null and lon is not null").select("station_id", "lat", "lon")
 
 
-def near_pairs(st: DataFrame, km: float) -> DataFrame:
-    """Station pairs within ``km``: grid cells of that size, each station copied to its nine cells; an equi-join, no cross join."""
-    size = km / 111.0
-    cell = lambda lat, lon: (F.floor(lat / size), F.floor(lon * F.cos(F.radians(F.lit(60.0))) / size))
-    i, j = cell(F.col("lat"), F.col("lon"))
-    a = st.select(F.col("station_id").alias("a"), F.col("lat").alias("alat"), F.col("lon").alias("alon"), i.alias("i"), j.alias("j"))
-    near = F.explode(F.array(*[F.struct((i + x).alias("i"), (j + y).alias("j")) for x in (-1, 0, 1) for y in (-1, 0, 1)]))
-    b = st.select(F.col("station_id").alias("b"), F.col("lat").alias("blat"), F.col("lon").alias("blon"), near.alias("c")).select("b", "blat", "blon", "c.i", "c.j")
-    pairs = a.join(b, ["i", "j"]).where("a <> b").withColumn("km", geo.haversine_km(F.col("alat"), F.col("alon"), F.col("blat"), F.col("blon")))
-    return pairs.where(F.col("km") <= km).withColumn("bearing", geo.bearing_deg(F.col("alat"), F.col("alon"), F.col("blat"), F.col("blon")))
-
-
 @query(
     f"""WITH {_ST} SELECT a.station_id AS a, b.station_id AS b, round({_HAV("a", "b")}, 6) AS km,
  round(((degrees(atan2(sin(radians(b.lon - a.lon)) * cos(radians(b.lat)), cos(radians(a.lat)) * sin(radians(b.lat)) - sin(radians(a.lat)) * cos(radians(b.lat)) * cos(radians(b.lon - a.lon)))) + 360) % 360), 4) AS bearing
@@ -190,7 +194,7 @@ FROM st a JOIN st b ON a.station_id <> b.station_id WHERE {_HAV("a", "b")} <= 60
 )
 def neighbour_stations(spark: SparkSession, base: str) -> DataFrame:
     """Stations within 60 km of each other with distance and bearing."""
-    p = near_pairs(present(spark, base), 60.0)
+    p = near_pairs(present(spark, base), "station_id", 60.0)
     return p.select("a", "b", F.round("km", 6).alias("km"), F.round("bearing", 4).alias("bearing"))
 
 
@@ -204,20 +208,20 @@ def station_clusters(spark: SparkSession, base: str) -> DataFrame:
     from slotweave.operators.components import connected_components
 
     st = present(spark, base)
-    edges = near_pairs(st, 30.0).select("a", "b")
+    edges = near_pairs(st, "station_id", 30.0).select("a", "b")
     return connected_components(st.select(F.col("station_id").alias("id")), edges).select(F.col("id").alias("station_id"), "component")
 
 
 @query(
-    f"""WITH {_SLOTS}, {_ST}, h AS (SELECT station_id, slot_us, wet, mm FROM s WHERE slot_us % 3600000000 = 0),
+    f"""WITH {_SLOTS}, {_ST},
 e AS (SELECT a.station_id AS a, b.station_id AS b, {_HAV("a", "b")} AS km FROM st a JOIN st b ON a.station_id <> b.station_id WHERE {_HAV("a", "b")} <= 60)
 SELECT a AS station_id, slot_us, round(max(mm), 6) AS mm_max, round(sum(mm / greatest(km, 1)) / sum(CASE WHEN mm IS NOT NULL THEN 1 / greatest(km, 1) END), 6) AS mm_wmean,
- round(avg(CASE WHEN wet THEN 1.0 WHEN NOT wet THEN 0.0 END), 6) AS wet_share, count(wet) AS n, round(min(km), 6) AS near_km FROM e JOIN h ON e.b = h.station_id GROUP BY 1, 2"""
+ round(avg(CASE WHEN wet THEN 1.0 WHEN NOT wet THEN 0.0 END), 6) AS wet_share, count(wet) AS n, round(min(km), 6) AS near_km FROM e JOIN s h ON e.b = h.station_id GROUP BY 1, 2"""
 )
 def neighbour_gauge_features(spark: SparkSession, base: str) -> DataFrame:
-    """For every station and full hour: the greatest and weighted depth, wet share and number of gauges within 60 km."""
-    h = slots(spark, base).where(F.col("slot_us") % F.lit(3600 * MICROS) == 0)
-    e = near_pairs(present(spark, base), 60.0).select(F.col("a").alias("station_id"), F.col("b").alias("other"), "km")
+    """For every station and slot: the greatest and weighted depth, wet share and number of gauges within 60 km."""
+    h = slots(spark, base)
+    e = near_pairs(present(spark, base), "station_id", 60.0).select(F.col("a").alias("station_id"), F.col("b").alias("other"), "km")
     j = e.join(h.withColumnRenamed("station_id", "other"), "other")
     wt = 1 / F.greatest(F.col("km"), F.lit(1.0))
     return r6(j.groupBy("station_id", "slot_us").agg(
@@ -270,9 +274,11 @@ SELECT obs_id, coalesce(max(mark) OVER (PARTITION BY station_id, grp), 0) AS sta
 def hysteresis(spark: SparkSession, base: str) -> DataFrame:
     """A two-threshold switch: on from 15, off below 13, unchanged between; off at the start."""
     h = table(spark, base, "observations").where("parameter_id = 'temp_dry' and value is not null").select("station_id", micros("observed_utc").alias("us"), F.col("value").cast("double").alias("v"), "obs_id")
-    mark = F.when(F.col("v") >= 15, 1).when(F.col("v") < 13, 0)
-    w = W.partitionBy("station_id").orderBy("us", "obs_id").rowsBetween(W.unboundedPreceding, 0)
-    return h.select("obs_id", F.coalesce(F.last(mark, ignorenulls=True).over(w), F.lit(0)).alias("state"))
+    h = h.withColumn("mark", F.when(F.col("v") >= 15, 1).when(F.col("v") < 13, 0)).withColumn("block", block_of(F.col("us"), G.BLOCK_US))
+    last = F.max_by("mark", F.when(F.col("mark").isNotNull(), F.struct("us", "obs_id")))
+    h = carried(h, ["station_id"], "block", {"m": last}, {"before": ("last", F.col("m"))})  # one row a block carries the state on
+    w = W.partitionBy("station_id", "block").orderBy("us", "obs_id").rowsBetween(W.unboundedPreceding, 0)
+    return h.select("obs_id", F.coalesce(F.last("mark", ignorenulls=True).over(w), "before", F.lit(0)).alias("state"))
 
 
 @query(

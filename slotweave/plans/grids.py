@@ -63,13 +63,13 @@ def crps_by_label(spark: SparkSession, base: str) -> DataFrame:
 
 
 @query(
-    f"""WITH x AS (SELECT vec_id, embedding[1] AS y, list_slice(embedding, 2, 9) AS ms FROM embeddings),
+    f"""WITH x AS (SELECT vec_id, embedding[1] AS y, list_slice(embedding, 2, 64) AS ms FROM embeddings),
 k AS (SELECT vec_id, len(list_filter(ms, lambda z: z < y)) AS b, len(list_filter(ms, lambda z: z = y)) AS t FROM x)
 SELECT CAST(b + floor((CAST('0x' || substr(md5('5|' || CAST(vec_id AS VARCHAR)), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE) * (t + 1)) AS INTEGER) AS rank, count(*) AS n FROM k GROUP BY 1"""
 )
 def rank_histogram(spark: SparkSession, base: str) -> DataFrame:
     e = table(spark, base, "embeddings")
-    r = V.rank_of(F.slice("embedding", 2, 8), F.get("embedding", F.lit(0)), V.hash_draw(F.col("vec_id"), seed=5))
+    r = V.rank_of(F.expr("slice(embedding, 2, size(embedding))"), F.get("embedding", F.lit(0)), V.hash_draw(F.col("vec_id"), seed=5))
     return e.groupBy(r.alias("rank")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -88,12 +88,12 @@ def fractions_skill(spark: SparkSession, base: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {_C}, z AS (SELECT vec_id AS id, row, col FROM c WHERE label = 1)
-SELECT id, round(max(v), 6) AS v_max, round(avg(v), 6) AS v_mean, round(quantile_cont(v, 0.9), 6) AS v_p90, count(v) AS n FROM z JOIN g ON (g.row - z.row) * (g.row - z.row) + (g.col - z.col) * (g.col - z.col) <= 9 GROUP BY 1"""
+    f"""WITH {_C}, z AS (SELECT vec_id AS id, row, col FROM c)
+SELECT id, round(max(v), 6) AS v_max, round(avg(v), 6) AS v_mean, round(quantile_cont(v, 0.9), 6) AS v_p90, count(v) AS n FROM z JOIN (SELECT g.*, unnest(range(g.row - 3, g.row + 4)) AS near FROM g) g ON z.row = g.near AND (g.row - z.row) * (g.row - z.row) + (g.col - z.col) * (g.col - z.col) <= 9 GROUP BY 1"""
 )
 def disc_statistics(spark: SparkSession, base: str) -> DataFrame:
     g = cells(spark, base)
-    return r6(E.disc_statistics(g.select("row", "col", "v"), g.where("label = 1").select(F.col("vec_id").alias("id"), "row", "col"), 3, "v"), "v_max", "v_mean", "v_p90")
+    return r6(E.disc_statistics(g.select("row", "col", "v"), g.select(F.col("vec_id").alias("id"), "row", "col"), 3, "v"), "v_max", "v_mean", "v_p90")
 
 
 @query(
@@ -132,7 +132,7 @@ def scalar_functions(spark: SparkSession, base: str) -> DataFrame:
 
 
 @query(
-    """SELECT warning_id, CASE outcome WHEN 'hit' THEN 'hit' WHEN 'late' THEN 'late' WHEN 'false_alarm' THEN 'fa' ELSE 'unc' END || '-' || lpad(trim(station_id), 5, '0') || '-' || strftime(CAST(warned_at_utc AT TIME ZONE 'UTC' AS TIMESTAMP), '%Y%m%dT%H%MZ') AS event_id
+    """SELECT warning_id, CASE outcome WHEN 'hit' THEN 'hit' WHEN 'late' THEN 'late' WHEN 'false_alarm' THEN 'fa' ELSE 'unc' END || '-' || CASE WHEN length(trim(station_id)) < 5 THEN lpad(trim(station_id), 5, '0') ELSE trim(station_id) END || '-' || strftime(CAST(warned_at_utc AT TIME ZONE 'UTC' AS TIMESTAMP), '%Y%m%dT%H%MZ') AS event_id
 FROM warnings_scored WHERE station_id IS NOT NULL AND warned_at_utc IS NOT NULL"""
 )
 def event_ids(spark: SparkSession, base: str) -> DataFrame:
@@ -164,14 +164,17 @@ def delivery_kinds(spark: SparkSession, base: str) -> DataFrame:
 
 
 @query(
-    """WITH a AS (SELECT * FROM warnings_scored WHERE warning_id % 3 <> 0), n AS (SELECT warning_id, 'revised' AS outcome FROM warnings_scored WHERE warning_id % 5 = 0)
-SELECT warning_id, outcome FROM a ANTI JOIN n USING (warning_id) UNION ALL SELECT warning_id, outcome FROM n"""
+    """SELECT station_id, epoch_us(observed_utc) AS us, parameter_id, obs_id FROM (
+  SELECT *, row_number() OVER (PARTITION BY station_id, observed_utc, parameter_id ORDER BY coalesce(created_utc, observed_utc) DESC, obs_id DESC) AS k FROM observations) WHERE k = 1"""
 )
 def keyed_upsert(spark: SparkSession, base: str) -> DataFrame:
-    """Existing rows by anti-join and new rows by name (two overlapping parts of the table as old and new)."""
-    w = table(spark, base, "warnings_scored")
-    new = w.where("warning_id % 5 = 0").select("warning_id", F.lit("revised").alias("outcome"))
-    return store.upsert(w.where("warning_id % 3 <> 0").select("warning_id", "outcome"), new, ["warning_id"])
+    """The corrections of all readings written over their first deliveries: old rows by anti-join on the natural key, new rows by name."""
+    key = ["station_id", "observed_utc", "parameter_id"]
+    at = F.struct(F.coalesce("created_utc", "observed_utc").alias("at"), "obs_id")
+    d = table(spark, base, "observations").groupBy(*key).agg(F.min(at).alias("first"), F.max(at).alias("last"))
+    old = d.select(*key, F.col("first.obs_id").alias("obs_id"))
+    new = d.where("last.obs_id <> first.obs_id").select(*key, F.col("last.obs_id").alias("obs_id"))
+    return store.upsert(old, new, key).select("station_id", micros("observed_utc").alias("us"), "parameter_id", "obs_id")
 
 
 @query(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from slotweave.functions.text import station_number
 from slotweave.functions.timeexpr import micros
 from slotweave.plans.gauges import warnings
 from slotweave.streaming import pipelines as P
@@ -42,8 +43,8 @@ def stream_deduplicated(spark: SparkSession, base: str) -> DataFrame:
 def stream_decisions(spark: SparkSession, base: str) -> DataFrame:
     """The notification rule as keyed state over the stream of warnings."""
     w = P.read(spark, base, "warnings_scored").where("station_id is not null and warned_at_utc is not null")
-    d = w.select(F.lpad(F.trim("station_id"), 5, "0").alias("station_id"), micros("warned_at_utc").alias("us"), F.col("warning_id").alias("row_id"), F.col("p_rain").alias("p"), F.coalesce(F.col("eta_min") <= 1.5, F.lit(False)).alias("raining"))
-    return P.run(P.decide(d, 0.6))
+    d = w.select(station_number(F.col("station_id")).alias("station_id"), micros("warned_at_utc").alias("us"), F.col("warning_id").alias("row_id"), F.col("p_rain").alias("p"), F.coalesce(F.col("eta_min") <= 1.5, F.lit(False)).alias("raining"))
+    return P.run(P.decide(d, 60))
 
 
 @query(
@@ -59,7 +60,7 @@ def stream_live_panes(spark: SparkSession, base: str) -> DataFrame:
 
 
 @query(
-    """WITH w AS (SELECT *, lpad(trim(station_id), 5, '0') AS sid, epoch_us(warned_at_utc) AS t_us FROM warnings_scored WHERE station_id IS NOT NULL AND warned_at_utc IS NOT NULL),
+    """WITH w AS (SELECT *, CASE WHEN length(trim(station_id)) < 5 THEN lpad(trim(station_id), 5, '0') ELSE trim(station_id) END AS sid, epoch_us(warned_at_utc) AS t_us FROM warnings_scored WHERE station_id IS NOT NULL AND warned_at_utc IS NOT NULL),
 d AS (SELECT sid AS station_id, t_us, CASE WHEN t_us - lag(t_us) OVER (PARTITION BY sid ORDER BY t_us) >= 7200000000 THEN 1 ELSE 0 END AS nw FROM w),
 r AS (SELECT *, sum(nw) OVER (PARTITION BY station_id ORDER BY t_us RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM d)
 SELECT station_id, min(t_us) AS from_us, max(t_us) + 7200000000 AS to_us, count(*) AS n FROM r GROUP BY station_id, run"""

@@ -26,10 +26,18 @@ def table(spark: SparkSession, base: str, name: str) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint in the folder named by ``spark.checkpoint.dir``.
 
-    A cluster sets that folder (shared by all executors). Only where it is unset, as in local
-    tests, a temporary folder is used.
+    A session that already has a checkpoint folder keeps it.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="slotweave-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share: ``spark.checkpoint.dir``. Only a local session may do without; it gets a temporary one."""
+    sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if named is None and not (sc.master or "").startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
+    return named or tempfile.mkdtemp(prefix="slotweave-")

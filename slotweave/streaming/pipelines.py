@@ -6,7 +6,6 @@ Each runs over files with ``availableNow`` and writes a Parquet table; the check
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -17,11 +16,11 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from slotweave.functions.timeexpr import MICROS, floor_us, micros
 from slotweave.operators import matching
+from slotweave.runtime import shared_folder
 
 
 def scratch(spark: SparkSession) -> str:
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="slotweave-")
-    return f"{root}/stream-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def read(spark: SparkSession, base: str, name: str) -> DataFrame:
@@ -65,22 +64,22 @@ def deduplicated(obs: DataFrame, watermark: str = "30 days") -> DataFrame:
     return obs.withWatermark("observed_utc", watermark).dropDuplicatesWithinWatermark(["station_id", "observed_utc", "parameter_id"])
 
 
-RULE_STATE = "armed boolean, streak int, below long, seen long, notified boolean, calm int"
+RULE_STATE = "armed boolean, streak int, below long, seen long, notified boolean, calm int, cleared boolean"
 ACTION = "station_id string, row_id long, us long, action string"
 
 
-def rule_step(threshold: float, persistence: int = 1, rearm_min: int = 60, clear_after: int = 2) -> Callable:
+def rule_step(threshold: float, rule: matching.Rule = matching.Rule()) -> Callable:
     """The notification rule as a keyed state function; rows of a batch are taken in order of time, stale ones do nothing."""
 
     def work(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        s = dict(zip(("armed", "streak", "below", "seen", "notified", "calm"), state.get)) if state.exists else matching.fresh()
+        s = dict(zip(matching.STATE, state.get)) if state.exists else matching.fresh()
         rows = pd.concat(list(batches)).sort_values(["us", "row_id"])
         out = []
         for r in rows.itertuples(index=False):
-            a = matching.step(s, int(r.us), None if pd.isna(r.p) else float(r.p), bool(r.raining), threshold, persistence, rearm_min * 60 * MICROS, clear_after)
+            a = matching.step(s, int(r.us), None if pd.isna(r.p) else float(r.p), bool(r.raining), threshold, rule)
             if a != "none":
                 out.append((key[0], int(r.row_id), int(r.us), a))
-        state.update(tuple(s[k] for k in ("armed", "streak", "below", "seen", "notified", "calm")))
+        state.update(tuple(s[k] for k in matching.STATE))
         yield pd.DataFrame(out, columns=["station_id", "row_id", "us", "action"])
 
     return work
