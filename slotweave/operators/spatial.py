@@ -222,7 +222,7 @@ def match_sites(points: DataFrame, sites: DataFrame, *, cell_rows: int = 50_000)
     circles = sites.where("km is not null and lat is not null and lon is not null and not isnan(lat) and not isnan(lon)").select("id", F.col("lat").cast("double"), F.col("lon").cast("double"))
     n_sites = circles.count()
     s, c = sampled(usable, n), sampled(circles, n_sites)
-    weight, heavy = n / max(1, len(s)), n_sites / max(1, len(c))
+    weight, heavy = max(1.0, n / max(1, len(s))), max(1.0, n_sites / max(1, len(c)))
     tree = Quadtree(box, [(s[:, 0], s[:, 1]), (c[:, 0], c[:, 1])], [max(1, int(cell_rows / weight)), max(1, int(cell_rows / heavy))])
     # groups of points and groups of sites per cell
     shares = [np.maximum(1, np.ceil(k * x / (2 * cell_rows))).astype(np.int64) for k, x in zip(tree.counts, (weight, heavy))]

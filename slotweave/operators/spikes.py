@@ -7,7 +7,8 @@ and with *transient changes* that fade. Each round the strongest effects are rem
 taken anew; rows are flagged where the additive outlier explains the residuals best. Readings beyond physical
 limits and runs of one value are separated first and do not enter the fit. Rain is judged on a logarithmic scale.
 
-Scale: rows are grouped by (source, block of days), each block with a margin of neighbouring rows, so no
+Scale: rows are grouped by (source, block of days), each block with a margin of neighbouring rows (five days: the longest run that must be seen whole, 20 readings up
+to six hours apart, fits), so no
 series ever sits in one task as a whole and a hot source is spread over its blocks. The blocks are kept (one row each) and each source is
 fitted once over all its blocks: sums of products by residual bucket are added up over blocks, trimmed and solved in rounds, the scale comes
 from the same kind of buckets (relative error 1 %). The one row of coefficients per source then goes to its blocks. The rows are shuffled once.
@@ -370,7 +371,7 @@ def fit_sources(blocks: DataFrame, kinds: dict[str, Kind], block: int) -> DataFr
 
 
 def flag_faults(
-    df: DataFrame, *, source: tuple[str, str] = ("station_id", "parameter_id"), ts: str = "observed_utc", value: str = "value", row_id: str = "obs_id", kinds: dict[str, Kind] | None = None, block_days: int = 16, margin_hours: int = 24
+    df: DataFrame, *, source: tuple[str, str] = ("station_id", "parameter_id"), ts: str = "observed_utc", value: str = "value", row_id: str = "obs_id", kinds: dict[str, Kind] | None = None, block_days: int = 32, margin_hours: int = 5 * 24
 ) -> DataFrame:
     """Faulty rows as ``row_id, reason`` (``impossible``, ``stuck`` or ``spike``), one row each.
 

@@ -11,6 +11,8 @@ from slotweave.runtime import table
 
 #: Fixed values of problem 1: first publication and cut-off after an hour's end, in minutes.
 FIRST_WAIT, CUTOFF = 10, 24 * 60
+#: Minutes of arrival that one partial takes together; both waits and the hour are multiples of it.
+TICK = 10
 #: Fixed values of problem 2.
 HEIGHT_M, PLACE_M = 0.25, 50.0
 #: The network's extent (degrees), by which a pair written as [lat, lon] is known.
@@ -28,29 +30,32 @@ def tenths(value: str = "value"):
     return F.when(v.isNotNull() & ~F.isnan(v), F.round(F.greatest(v, F.lit(0.0)) * 10)).cast("long")
 
 
-def rain_changes(spark: SparkSession, base: str, panes: int = 1) -> DataFrame:
-    """Changes of hourly panes, up to the cut-off of the last window of ``panes`` panes over them."""
-    return late_panes.pane_changes(
-        rain(spark, base), keys=["station_id"], event="observed_utc", arrival=F.col("created_utc"), amount=tenths(), order="obs_id", pane_min=60, cutoff_min=(panes - 1) * 60 + CUTOFF
+def rain_partials(spark: SparkSession, base: str, panes: int = 1) -> DataFrame:
+    """Partials of hourly panes per ten minutes of arrival, up to the cut-off of the last window of ``panes`` panes over them."""
+    return late_panes.pane_partials(
+        rain(spark, base), keys=["station_id"], event="observed_utc", arrival=F.col("created_utc"), amount=tenths(), order="obs_id", pane_min=60, panes=panes, cutoff_min=CUTOFF, tick_min=TICK
     )
 
 
+def rain_emissions(spark: SparkSession, base: str) -> DataFrame:
+    return late_panes.emissions(rain_partials(spark, base), keys=["station_id"], first_wait_min=FIRST_WAIT, cutoff_min=CUTOFF)
+
+
 def p1_found(spark: SparkSession, base: str) -> DataFrame:
-    """Hours whose count or total changed between first publication and cut-off."""
-    r = late_panes.results_at(rain_changes(spark, base), keys=["station_id"], waits_min=[FIRST_WAIT, CUTOFF])
-    moved = (F.col(f"count_{FIRST_WAIT}") != F.col(f"count_{CUTOFF}")) | (F.col(f"amount_{FIRST_WAIT}") != F.col(f"amount_{CUTOFF}"))
-    return r.where(moved).select("station_id", iso_utc_us(F.col("window_us")).alias("hour_utc"))
+    """Hours whose last publication differs from the first."""
+    r = late_panes.corrected(rain_emissions(spark, base), keys=["station_id"])
+    return r.select("station_id", iso_utc_us(F.col("window_us")).alias("hour_utc"))
 
 
 def p1_emissions(spark: SparkSession, base: str) -> DataFrame:
     """Every published result of every station-hour, first and corrected."""
-    e = late_panes.emissions(rain_changes(spark, base), keys=["station_id"], first_wait_min=FIRST_WAIT, cutoff_min=CUTOFF)
+    e = rain_emissions(spark, base)
     return e.select("station_id", iso_utc_us(F.col("window_us")).alias("hour_utc"), F.col("emitted_us"), F.col("n"), F.col("amount").alias("tenths_mm"), F.col("revision").cast("int").alias("revision"))
 
 
 def p1_sliding(spark: SparkSession, base: str) -> DataFrame:
     """Three-hour windows sliding by the hour, composed of hourly panes: as first published and at the cut-off."""
-    r = late_panes.results_at(rain_changes(spark, base, 3), keys=["station_id"], waits_min=[FIRST_WAIT, CUTOFF], panes=3)
+    r = late_panes.results_at(rain_partials(spark, base, 3), keys=["station_id"], waits_min=[FIRST_WAIT, CUTOFF], panes=3)
     r = r.where(F.col(f"count_{CUTOFF}") > 0)  # windows that ended before any of their readings came have no row
     return r.select("station_id", iso_utc_us(F.col("window_us")).alias("window_utc"), F.col(f"count_{FIRST_WAIT}").alias("n_first"), F.col(f"amount_{FIRST_WAIT}").alias("tenths_first"), F.col(f"count_{CUTOFF}").alias("n_last"), F.col(f"amount_{CUTOFF}").alias("tenths_last"))
 
@@ -65,7 +70,9 @@ def station_versions(spark: SparkSession, base: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, base: str) -> DataFrame:
-    return station_versions(spark, base).where("changed").select(F.col("entity").alias("station_id"), iso_utc(F.col("effective")).alias("valid_from"))
+    """Begins of all versions but a station's first."""
+    i = history.islands(station_versions(spark, base), attributes=["height", "place"])
+    return i.where("island > 1").select(F.col("entity").alias("station_id"), iso_utc(F.col("valid_from")).alias("valid_from"))
 
 
 def p2_history(spark: SparkSession, base: str) -> DataFrame:
@@ -90,7 +97,8 @@ def rain_series(spark: SparkSession, base: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, base: str) -> DataFrame:
-    return rain_series(spark, base).where("status = 'missing'").select(F.col("source").alias("station_id"), iso_utc_us(F.col("slot_us")).alias("slot_utc"))
+    """The marks that had to be filled."""
+    return rain_series(spark, base).where("status = 'missing' and filled is not null").select(F.col("source").alias("station_id"), iso_utc_us(F.col("slot_us")).alias("slot_utc"))
 
 
 def p5_series(spark: SparkSession, base: str) -> DataFrame:
@@ -118,7 +126,7 @@ def sites(spark: SparkSession, base: str, km: float = STATION_KM) -> DataFrame:
 
 def p6_pairs(spark: SparkSession, base: str) -> DataFrame:
     """Points with stations within reach (with the distance) and containing regions."""
-    return spatial.match_sites(corpus_points(spark, base), sites(spark, base))
+    return spatial.match_sites(corpus_points(spark, base), sites(spark, base)).withColumn("km", F.round("km", 6))
 
 
 def p6_found(spark: SparkSession, base: str) -> DataFrame:

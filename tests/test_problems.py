@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from slotweave.operators import history, late_panes, regular_grid, spatial, spikes
 from slotweave.plans import problems
-from tests.helpers import BASE, database
 
 UTC = dt.timezone.utc
 T0 = dt.datetime(2026, 5, 1, tzinfo=UTC)
@@ -24,8 +23,8 @@ def obs(spark, data):
     return spark.createDataFrame(full, OBS)
 
 
-def changes(df, **k):
-    return late_panes.pane_changes(df, keys=["station_id"], event="observed_utc", arrival=F.col("created_utc"), amount=problems.tenths(), order="obs_id", **k)
+def partials(df, **k):
+    return late_panes.pane_partials(df, keys=["station_id"], event="observed_utc", arrival=F.col("created_utc"), amount=problems.tenths(), order="obs_id", **k)
 
 
 def brute_panes(data, wait):
@@ -48,7 +47,7 @@ def brute_panes(data, wait):
 def test_panes_match_brute_force(spark):
     rng = random.Random(3)
     data = [(rng.choice(["a", "b", None]), rng.randrange(0, 400), rng.choice([None, float("nan"), -0.1, 0.0, 0.3, 1.2]), rng.choice([None, 50, 75, 400, 1500, 3000])) for _ in range(600)]
-    r = late_panes.results_at(changes(obs(spark, data)), keys=["station_id"], waits_min=[10, 1440])
+    r = late_panes.results_at(partials(obs(spark, data)), keys=["station_id"], waits_min=[10, 1440])
     got = {(x.station_id, int((x.window_us / 6e7 - T0.timestamp() / 60) // 60)): (x.count_10, x.amount_10, x.count_1440, x.amount_1440) for x in r.collect()}
     a, b = brute_panes(data, 10), brute_panes(data, 1440)
     assert {k: v for k, v in got.items() if any(v)} == {k: (*a.get(k, (0, 0)), *v) for k, v in b.items()}
@@ -56,12 +55,38 @@ def test_panes_match_brute_force(spark):
 
 def test_emissions_end_in_the_last_result(spark):
     data = [("a", 5, 1.0, 6), ("a", 15, 2.0, 200), ("a", 5, 1.5, 300), ("a", 5, 1.5, 400), ("a", 25, 1.0, 9999)]
-    e = late_panes.emissions(changes(obs(spark, data)), keys=["station_id"], first_wait_min=10, cutoff_min=1440).orderBy("emitted_us").collect()
-    assert [(x.n, x.amount, x.revision) for x in e] == [(1, 10, 0), (2, 30, 1), (2, 35, 2)]
+    e = late_panes.emissions(partials(obs(spark, data)), keys=["station_id"], first_wait_min=10, cutoff_min=1440)
+    assert [(x.n, x.amount, x.revision) for x in e.orderBy("emitted_us").collect()] == [(1, 10, 0), (2, 30, 1), (2, 35, 2)]
+    assert [tuple(x)[2:] for x in late_panes.corrected(e, keys=["station_id"]).collect()] == [(1, 10, 2, 35)]
+
+
+@pytest.mark.parametrize("panes", [1, 3])
+def test_emissions_tell_the_same_as_the_results(spark, panes):
+    rng = random.Random(8)
+    data = [("a", rng.randrange(0, 300), round(rng.random(), 1), rng.choice([None, 80, 310, 700, 1500, 1590, 1700])) for _ in range(150)]
+    p = partials(obs(spark, data), panes=panes, tick_min=10)
+    r = {x.window_us: (x.count_10, x.amount_10, x.count_1440, x.amount_1440) for x in late_panes.results_at(p, keys=["station_id"], waits_min=[10, 1440], panes=panes).collect()}
+    e = late_panes.emissions(p, keys=["station_id"], first_wait_min=10, cutoff_min=1440, panes=panes)
+    c = {x.window_us: (x.n_first, x.amount_first, x.n_last, x.amount_last) for x in late_panes.corrected(e, keys=["station_id"]).collect()}
+    assert c and c == {k: v for k, v in r.items() if v[:2] != v[2:]}
+
+
+def test_a_late_change_recomposes_only_the_windows_over_its_pane(spark):
+    data = [("a", 60 * h + 5, 1.0, 60 * h + 6) for h in range(8)]
+    args = dict(keys=["station_id"], first_wait_min=10, cutoff_min=1440, panes=3)
+    before = {tuple(r) for r in late_panes.emissions(partials(obs(spark, data), panes=3), **args).collect()}
+    after = {tuple(r) for r in late_panes.emissions(partials(obs(spark, data + [("a", 60 * 4 + 25, 2.0, 900)]), panes=3), **args).collect()}
+    new = after - before
+    assert before <= after and {(r[1] / 6e7 - T0.timestamp() / 60) / 60 for r in new} == {2.0, 3.0, 4.0} and {r[5] for r in new} == {1}
+
+
+def test_partials_hold_one_row_a_pane_and_tick(spark):
+    data = [("a", m, 0.1, 71 + m % 3) for m in range(60)]
+    assert partials(obs(spark, data), tick_min=10).count() == 1
 
 
 def test_sliding_windows_recompose_only_their_panes(spark):
-    w = late_panes.windows_of(changes(obs(spark, [("a", 65, 1.0, 70)])), panes=3)
+    w = late_panes.windows_of(partials(obs(spark, [("a", 65, 1.0, 70)])), panes=3)
     assert w.count() == 3 and w.select("window_us").distinct().count() == 3
 
 
@@ -73,7 +98,7 @@ def test_sliding_windows_wait_for_their_own_cutoff(spark, monkeypatch):
 
 
 def test_empty_panes(spark):
-    assert late_panes.results_at(changes(obs(spark, [])), keys=["station_id"], waits_min=[10]).count() == 0
+    assert late_panes.results_at(partials(obs(spark, [])), keys=["station_id"], waits_min=[10]).count() == 0
 
 
 SNAP = "snapshot_id long, fetched_utc timestamp, station_id string, coordinates array<double>, station_height double, valid_from timestamp, height string, place string, entity int"
@@ -141,11 +166,13 @@ def test_stuck_runs_and_rain_rules():
 
 def test_runs_hold_over_block_borders(spark):
     v = series(3000, seed=2)
-    v[2290:2330] = 9.9  # across the border of two blocks
+    border = ((int(T0.timestamp()) // 86400 // 32 + 1) * 32 * 86400 - int(T0.timestamp())) // 600  # of two blocks
+    border = border if border < 2900 else 2310
+    v[border - 20 : border + 20] = 9.9
     data = [(i, "s", T0 + dt.timedelta(minutes=10 * i), "temp_dry", float(np.round(x, 1)), None, "", "", 0, 0, "") for i, x in enumerate(v)]
     data += [(9001, None, T0, "temp_dry", 5.0, None, "", "", 0, 0, ""), (9002, "s", None, "temp_dry", 5.0, None, "", "", 0, 0, ""), (9003, "s", T0, "temp_dry", None, None, "", "", 0, 0, ""), (9004, "s", T0, "temp_dry", float("nan"), None, "", "", 0, 0, "")]
     got = {r.obs_id for r in spikes.flag_faults(spark.createDataFrame(data, OBS)).where("reason = 'stuck'").collect()}
-    assert got == set(range(2290, 2330))
+    assert got == set(range(border - 20, border + 20))
     assert spikes.flag_faults(spark.createDataFrame([], OBS)).count() == 0
 
 
@@ -225,16 +252,49 @@ def test_rtree_finds_all():
     assert set(zip(p.tolist(), q.tolist())) == set(zip(*[a.tolist() for a in np.nonzero(inside)]))
 
 
-def test_history_query_matches_sql(spark):
-    """The found versions against a plain SQL statement of the problem."""
-    want = database().sql("""
-      WITH r AS (SELECT *, CASE WHEN len(coordinates) = 2 AND coordinates[1] IS NOT NULL AND coordinates[2] IS NOT NULL THEN coordinates END AS c FROM station_snapshots WHERE station_id IS NOT NULL AND valid_from IS NOT NULL),
-      h AS (SELECT station_id, valid_from, arg_max(station_height, (fetched_utc, snapshot_id)) FILTER (station_height IS NOT NULL AND NOT isnan(station_height)) AS h, arg_max(c, (fetched_utc, snapshot_id)) FILTER (c IS NOT NULL) AS c FROM r GROUP BY 1, 2),
-      f AS (SELECT station_id, valid_from, last_value(h IGNORE NULLS) OVER w AS h, last_value(least(c[1], c[2]) IGNORE NULLS) OVER w AS lon, last_value(greatest(c[1], c[2]) IGNORE NULLS) OVER w AS lat FROM h WINDOW w AS (PARTITION BY station_id ORDER BY valid_from)),
-      l AS (SELECT *, lag(h) OVER w AS ph, lag(lon) OVER w AS plon, lag(lat) OVER w AS plat FROM f WINDOW w AS (PARTITION BY station_id ORDER BY valid_from))
-      SELECT station_id, strftime(CAST(valid_from AT TIME ZONE 'UTC' AS TIMESTAMP), '%Y-%m-%dT%H:%M:%SZ') FROM l
-      WHERE abs(h - ph) >= 0.25 OR 12742017.6 * asin(sqrt(pow(sin(radians(lat - plat) / 2), 2) + cos(radians(lat)) * cos(radians(plat)) * pow(sin(radians(lon - plon) / 2), 2))) >= 50""").fetchall()
-    assert {tuple(r) for r in problems.p2_found(spark, BASE).collect()} == set(want)
+def test_fill_error_on_hidden_readings(spark):
+    """Known readings hidden from the fit are filled better than by the source's mean."""
+    rng = np.random.default_rng(3)
+    k = np.arange(0, 144 * 20)
+    v = 8 + 4 * np.cos(2 * math.pi * k / 144) + 0.01 * k / 144 + np.convolve(rng.normal(0, 0.3, len(k)), np.ones(12) / 12, "same")
+    hidden = {i for s in rng.choice(len(k) - 20, 40, replace=False) for i in range(s, s + 12)}
+    data = [("a", int(10 * i), float(v[i]), 1) for i in k if i not in hidden]
+    got = {(r.slot_us - int(T0.timestamp() * 1e6)) // 600_000_000: r.filled for r in grid(spark, data).where("status = 'missing'").collect()}
+    assert hidden <= set(got)
+    off = np.array([got[i] - v[i] for i in sorted(hidden)])
+    assert np.sqrt(np.mean(off**2)) < 0.2 < 0.1 * np.std(v) * 2
+
+
+def test_slow_sensors_are_stuck_over_block_borders(spark):
+    """Thirteen equal three-hourly values, most of them beyond the border of a block."""
+    border = (int(T0.timestamp()) // 86400 // 32 + 1) * 32 * 86400 - int(T0.timestamp())
+    v = np.round(series(400, seed=6), 1)
+    first = border // 10800 - 11
+    v[first : first + 13] = 7.7
+    data = [(i, "s", T0 + dt.timedelta(hours=3 * i), "temp_dry", float(x), None, "", "", 0, 0, "") for i, x in enumerate(v)]
+    got = {r.obs_id for r in spikes.flag_faults(spark.createDataFrame(data, OBS)).where("reason = 'stuck'").collect()}
+    assert got == set(range(first, first + 13))
+
+
+def test_circles_reach_over_the_meridian_and_areas_fill_cells(spark):
+    rng = random.Random(9)
+    pts = [(f"p{i}", rng.uniform(-1, 1), rng.choice([-1, 1]) * rng.uniform(179, 180)) for i in range(400)] + [("pole", 89.99, 77.0)]
+    circles = [("c1", 0.0, 179.9, 60.0), ("c2", 0.3, -179.95, 40.0), ("c3", 89.995, -100.0, 5.0)]
+    p = spark.createDataFrame(pts, "point_id string, lat double, lon double")
+    box = ([179.2, 179.9, 179.9, 179.2], [-0.8, -0.8, 0.8, 0.8])
+    sites = [("station", s, a, b, k, None, None) for s, a, b, k in circles] + [("region", "R", None, None, None, [box[0]], [box[1]])]
+    for cell_rows in (4, 50_000):
+        got = [(r.point_id, r.found_kind, r.found_id) for r in spatial.match_sites(p, spark.createDataFrame(sites, spatial.SITE), cell_rows=cell_rows).collect()]
+        assert len(got) == len(set(got)) and set(got) == brute_pairs(pts, circles, [(np.array(box[0]), np.array(box[1]))]) and ("pole", "station", "c3") in got
+
+
+def test_crowded_sites_are_dealt_to_groups(spark):
+    pts = [(f"p{i}", 55.0 + i * 1e-4, 10.0) for i in range(40)]
+    sites = [("station", f"s{i}", 55.0, 10.0, 1.0, None, None) for i in range(300)]
+    p = spark.createDataFrame(pts, "point_id string, lat double, lon double")
+    got = [(r.point_id, r.found_id) for r in spatial.match_sites(p, spark.createDataFrame(sites, spatial.SITE), cell_rows=20).collect()]
+    want = {(a, f"s{i}") for a, lat, lon in pts for i in range(300) if spatial.km_between(np.array([lat]), np.array([lon]), 55.0, 10.0)[0] <= 1.0}
+    assert len(got) == len(set(got)) and set(got) == want
 
 
 def test_a_source_is_fitted_over_all_its_blocks(spark):
