@@ -1,13 +1,12 @@
 """Mixing sources to target weights of the total size, with capped repeats (hash-threshold histograms).
 
 Each record has a fixed hash. A source that needs ``k`` whole copies of everything and a rest takes every record ``k`` times and, once more, the
-records whose hash lies below a threshold. Thresholds come from histograms: sizes are summed by source and the top hash digit; the
-running sum shows in which bucket a budget ends; only that bucket is opened into the next digit, and so on until a bucket holds
-no more than one hash. Budgets are nested: a smaller budget has the lower threshold, so its records are a part of the larger one's.
-Records are then kept by a filter on the hash: nothing is sorted, nothing is drawn.
+records whose hash lies below a threshold. Thresholds come from histograms: sizes are summed by source and the top ``TOP`` bits of the hash; the
+running sum shows in which bucket a budget ends; only that boundary bucket is refined, to single hashes. Budgets are nested: a smaller budget has the lower threshold, so its records are a part of the larger one's.
+Records are then kept by a filter on the hash: nothing is drawn, and only a boundary bucket (one record in 2^14 of a source) is ever put in order.
 
-Scale: the sizes (tokens) are computed once and written out (checkpoint); each round is one pass over (source, hash, size) with map-side sums, whose result is
-sources x budgets x ``DIGIT`` rows. The final filter joins the thresholds (one row per source and budget).
+Scale: the sizes (tokens) are computed once and written out (checkpoint). Two passes over (source, hash, size) follow, both with map-side sums: the histogram, whose result is
+sources x 2^14 rows and which also gives each source's total, and the boundary buckets. The final filter joins the thresholds (one row per source and budget).
 """
 
 from __future__ import annotations
@@ -20,8 +19,7 @@ from pyspark.sql import Window as W
 
 from slotweave.runtime import cut
 
-BITS, DIGIT = 60, 1 << 12
-ROUNDS = BITS // 12
+BITS, TOP = 60, 14
 
 
 def hash_of(*cols: str):
@@ -29,13 +27,18 @@ def hash_of(*cols: str):
     return F.shiftrightunsigned(F.xxhash64(*cols), 4)
 
 
-def budgets(sizes: DataFrame, targets: DataFrame, fractions: Sequence[float]) -> DataFrame:
-    """``source, cap, fraction, have, want, copies, rest``: tokens wanted of each source and how they are made up.
+def histogram(sizes: DataFrame) -> DataFrame:
+    """``source, digit, s``: sizes by source and top bits of the hash; a null source is left out."""
+    return sizes.where(F.col("source").isNotNull()).groupBy("source", F.shiftright("h", BITS - TOP).alias("digit")).agg(F.sum("size").alias("s"))
+
+
+def budgets(hist: DataFrame, targets: DataFrame, fractions: Sequence[float]) -> DataFrame:
+    """``source, share, cap, fraction, have, want, copies, rest``: tokens wanted of each source and how they are made up.
 
     The whole is the largest total at which no source exceeds its cap; each fraction of it is one nested budget. Sources without records,
     with a null or not positive share or cap get nothing, and the shares of the others are scaled up to one.
     """
-    have = sizes.where(F.col("source").isNotNull()).groupBy("source").agg(F.sum("size").alias("have")).where("have > 0")
+    have = hist.groupBy("source").agg(F.sum("s").alias("have")).where("have > 0")
     t = have.join(targets.select("source", F.col("target_share").alias("share"), F.col("max_repeats").alias("cap")).where("share > 0 and cap > 0"), "source")
     # one row per source, a table the size of the target list
     every = W.partitionBy(F.lit(1))
@@ -47,34 +50,25 @@ def budgets(sizes: DataFrame, targets: DataFrame, fractions: Sequence[float]) ->
     return t.withColumn("rest", F.col("want") - F.col("copies") * F.col("have")).select("source", "share", "cap", "fraction", "have", "want", "copies", "rest")
 
 
-def thresholds(sizes: DataFrame, plan: DataFrame) -> DataFrame:
-    """Adds ``below``: records of the source with a hash under it make up the rest, as closely as whole records allow."""
-    state = plan.withColumn("below", F.lit(0).cast("long")).withColumn("left", F.col("rest").cast("double"))
-    rows = sizes.select("source", "h", "size").where(F.col("source").isNotNull())
-    shift = BITS
-    for _ in range(ROUNDS):
-        shift -= 12
-        span = F.lit(1 << (shift + 12)).cast("long")
-        near = rows.join(state.select("source", "fraction", "below"), "source").where((F.col("h") >= F.col("below")) & (F.col("h") < F.col("below") + span))
-        hist = near.groupBy("source", "fraction", F.shiftright(F.col("h") - F.col("below"), shift).alias("digit")).agg(F.sum("size").alias("s"))
-        w = W.partitionBy("source", "fraction").orderBy("digit")
-        run = hist.withColumn("to", F.sum("s").over(w.rowsBetween(W.unboundedPreceding, 0)))
-        ends = run.join(state.select("source", "fraction", F.col("left").alias("__left")), ["source", "fraction"])
-        # digits taken whole, and the sum they hold
-        hit = ends.groupBy("source", "fraction").agg(
-            F.min(F.when(F.col("to") > F.col("__left"), F.col("digit"))).alias("digit"),
-            F.max(F.when(F.col("to") <= F.col("__left"), F.col("to"))).alias("taken"),
-        )
-        state = state.join(hit, ["source", "fraction"], "left")
-        step = F.coalesce(F.col("digit"), F.lit(0))
-        state = state.withColumn("below", F.col("below") + F.shiftleft(step.cast("long"), shift))
-        state = state.withColumn("left", F.col("left") - F.coalesce(F.col("taken"), F.lit(0))).drop("digit", "taken")
-        state = cut(state)
+def thresholds(sizes: DataFrame, targets: DataFrame, fractions: Sequence[float]) -> DataFrame:
+    """The budgets with ``below``: records of the source with a hash under it make up the rest, as closely as whole records allow."""
+    hist = cut(histogram(sizes))
+    plan = budgets(hist, targets, fractions)
+    run = hist.withColumn("to", F.sum("s").over(W.partitionBy("source").orderBy("digit").rowsBetween(W.unboundedPreceding, 0)))
+    # the bucket in which the budget ends, and what the buckets before it hold
+    ends = run.join(plan.select("source", "fraction", "rest"), "source").where(F.col("to") > F.col("rest"))
+    edge = ends.groupBy("source", "fraction").agg(F.min(F.struct("digit", (F.col("rest") - (F.col("to") - F.col("s"))).alias("left"))).alias("e"))
+    plan = cut(plan.join(edge.select("source", "fraction", "e.digit", "e.left"), ["source", "fraction"]))
+    # refine it: sizes by single hash, running sums in that bucket alone
+    open_ = plan.select("source", "fraction", "digit", "left")
+    near = sizes.select("source", F.shiftright("h", BITS - TOP).alias("digit"), "h", "size").join(open_.select("source", "digit").distinct(), ["source", "digit"], "left_semi")
+    near = near.groupBy("source", "digit", "h").agg(F.sum("size").alias("s"))
+    near = near.withColumn("to", F.sum("s").over(W.partitionBy("source", "digit").orderBy("h").rowsBetween(W.unboundedPreceding, 0))).join(open_, ["source", "digit"])
     # the record at the boundary itself comes in if that ends nearer to the budget
-    edge = rows.join(state.select("source", "fraction", "below"), "source").where(F.col("h") == F.col("below")).groupBy("source", "fraction").agg(F.sum("size").alias("s"))
-    state = state.join(edge, ["source", "fraction"], "left")
-    near = F.when(F.col("s") - F.col("left") < F.col("left"), 1).otherwise(0)
-    return state.withColumn("below", F.col("below") + near).drop("left", "s")
+    before = F.col("left") - (F.col("to") - F.col("s"))
+    last = F.struct("h", F.when(F.col("s") - before < before, 1).otherwise(0).alias("more"))
+    hit = near.where(F.col("to") > F.col("left")).groupBy("source", "fraction").agg(F.min(last).alias("m"))
+    return plan.join(hit, ["source", "fraction"]).withColumn("below", F.col("m.h") + F.col("m.more")).drop("m", "digit", "left")
 
 
 def mix(sizes: DataFrame, targets: DataFrame, *, fractions: Sequence[float] = (1.0,)) -> tuple[DataFrame, DataFrame]:
@@ -85,7 +79,7 @@ def mix(sizes: DataFrame, targets: DataFrame, *, fractions: Sequence[float] = (1
     ``fraction, source, target_share, want, got, share, repeats`` for each source with a target and records.
     """
     sizes = sizes.where(F.col("size") > 0).drop("fraction", "copies")
-    plan = thresholds(sizes, cut(budgets(sizes, targets, fractions)))
+    plan = cut(thresholds(sizes, targets, fractions))  # a row per source and budget
     t = plan.select("source", "fraction", F.col("copies").alias("__k"), F.col("below").alias("__below"), F.col("cap").alias("__cap"))
     chosen = sizes.join(t, "source").withColumn("copies", (F.col("__k") + F.when(F.col("h") < F.col("__below"), 1).otherwise(0)).cast("int"))
     chosen = chosen.where("copies > 0 and copies <= __cap")

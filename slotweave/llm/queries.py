@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from slotweave.functions.text import station_number
 from slotweave.functions.timeexpr import DAY_US, floor_us, iso_utc_us, micros
 from slotweave.llm import bpe, mixture, nearest, sketch, toxicity
+from slotweave.operators.blocks import block_of, running_sums
 from slotweave.runtime import cut, table
 
 TOLERANCE_S, FIRST_RING_S = 15 * 60, 5 * 60
@@ -36,11 +38,26 @@ def p7_percentiles(spark: SparkSession, base: str) -> DataFrame:
     """Percentiles per station, from the sketches of its days combined; a null station is a group of its own."""
     merged = sketch.merge(warning_sketch(spark, base), groups=["station"])
     p = sketch.percentiles(merged, groups=["station"], probabilities=PROBABILITIES, accuracy=ACCURACY)
-    return p.select(F.lpad("station", 5, "0").alias("station_id"), "metric", "n", *[F.round(c, 6).alias(c) for c in p.columns[3:]])
+    return p.select(station_number(F.col("station")).alias("station_id"), "metric", "n", *[sketch.significant(F.col(c)).alias(c) for c in p.columns[3:]])
+
+
+def p7_checked(spark: SparkSession, base: str) -> DataFrame:
+    """Every percentile beside the exact value at its rank, and whether it keeps the bound (the SQL twin states the exact value, and that it must)."""
+    w = table(spark, base, "warnings_scored").withColumn("station", nearest.entity_key(F.col("station_id")))
+    pairs = F.explode(F.array(*[F.struct(F.lit(v).alias("metric"), F.col(v).cast("double").alias("x")) for v in ("lead_error_min", "eta_min")]))
+    d = w.select("station", pairs.alias("p")).select("station", "p.*").where("x is not null and not isnan(x) and abs(x) < double('infinity')").groupBy("station", "metric", "x").agg(F.count(F.lit(1)).alias("k"))
+    r = running_sums(d, ["station", "metric"], [F.col("x")], block_of(F.col("x"), 4.0), {"to": F.col("k")})
+    p = sketch.percentiles(sketch.merge(warning_sketch(spark, base), groups=["station"]), groups=["station"], probabilities=PROBABILITIES, accuracy=ACCURACY)
+    long = F.explode(F.array(*[F.struct(F.lit(q).alias("probability"), F.col(c).alias("about")) for q, c in zip(PROBABILITIES, p.columns[3:])]))
+    p = p.select(F.col("station").alias("s"), F.col("metric").alias("m"), "n", long.alias("q")).select("s", "m", "n", "q.*")
+    j = p.join(r, F.col("s").eqNullSafe(F.col("station")) & (F.col("m") == F.col("metric"))).where(F.col("to") > F.floor(F.col("probability") * (F.col("n") - 1)))
+    e = j.groupBy("s", "m", "n", "probability", "about").agg(F.min("x").alias("exact"))
+    within = F.abs(F.col("about") - F.col("exact")) <= ACCURACY * F.abs(F.col("exact")) * (1 + 1e-9)
+    return e.select(station_number(F.col("s")).alias("station_id"), F.col("m").alias("metric"), "n", "probability", "exact", within.alias("within"))
 
 
 def p7_daily_sketch(spark: SparkSession, base: str) -> DataFrame:
-    return warning_sketch(spark, base).select(F.lpad("station", 5, "0").alias("station_id"), iso_utc_us(F.col("day_us")).alias("day_utc"), "metric", "bucket", "n")
+    return warning_sketch(spark, base).select(station_number(F.col("station")).alias("station_id"), iso_utc_us(F.col("day_us")).alias("day_utc"), "metric", "bucket", "n")
 
 
 def p8_ids(spark: SparkSession, base: str) -> DataFrame:
@@ -82,9 +99,10 @@ def p10_rates(spark: SparkSession, base: str) -> DataFrame:
     return s.withColumn("rate", F.round(F.col("n_flagged") / F.col("n_docs"), 9))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p7_percentiles, p7_daily_sketch, p8_ids, p9_mixture, p9_shares, p10_scores, p10_found, p10_rates)}
+QUERIES = {f.__name__: f for f in (p4_found, p7_percentiles, p7_daily_sketch, p7_checked, p8_ids, p9_mixture, p9_shares, p10_scores, p10_found, p10_rates)}
 
 _KEY = "nullif(regexp_replace(trim(station_id), '^0+(.)', '\\1'), '')"
+_PAD = "CASE WHEN length(station) < 5 THEN lpad(station, 5, '0') ELSE station END"
 _G = "ln((1 + 0.01) / (1 - 0.01))"
 _BUCKETS = f"""
 v AS (SELECT {_KEY} AS station, CAST(floor(epoch_us(warned_at_utc) / 86400000000.0) AS BIGINT) AS day, 'lead_error_min' AS metric, lead_error_min AS x FROM warnings_scored
@@ -104,11 +122,16 @@ SELECT warning_id, obs_id FROM (
 WITH {_BUCKETS},
 r AS (SELECT station, metric, bucket, row_number() OVER (PARTITION BY station, metric ORDER BY bucket) - 1 AS i, count(*) OVER (PARTITION BY station, metric) AS n FROM b),
 p AS (SELECT station, metric, n, {", ".join(f"max(bucket) FILTER (i = CAST(floor({p} * (n - 1)) AS BIGINT)) AS q{j}" for j, p in enumerate(PROBABILITIES))} FROM r GROUP BY 1, 2, 3)
-SELECT lpad(station, 5, '0') AS station_id, metric, n, {", ".join(f"round(CASE WHEN q{j} = 0 THEN 0.0 ELSE sign(q{j}) * pow({_G2}, CAST(abs(q{j}) - 1048576 AS DOUBLE)) * 2.0 / (1 + {_G2}) END, 6) AS p{p * 100:g}" for j, p in enumerate(PROBABILITIES))}
+SELECT {_PAD} AS station_id, metric, n, {", ".join(f"CAST(printf('%.8e', CASE WHEN q{j} = 0 THEN 0.0 ELSE sign(q{j}) * pow({_G2}, CAST(abs(q{j}) - 1048576 AS DOUBLE)) * 2.0 / (1 + {_G2}) END) AS DOUBLE) AS p{p * 100:g}" for j, p in enumerate(PROBABILITIES))}
 FROM p
 """,
     "p7_daily_sketch": f"""
 WITH {_BUCKETS}
-SELECT lpad(station, 5, '0') AS station_id, strftime(make_timestamp(day * 86400000000), '%Y-%m-%dT%H:%M:%SZ') AS day_utc, metric, bucket, count(*) AS n FROM b GROUP BY ALL
+SELECT {_PAD} AS station_id, strftime(make_timestamp(day * 86400000000), '%Y-%m-%dT%H:%M:%SZ') AS day_utc, metric, bucket, count(*) AS n FROM b GROUP BY ALL
+""",
+    "p7_checked": f"""
+WITH {_BUCKETS},
+x AS (SELECT station, metric, x, row_number() OVER (PARTITION BY station, metric ORDER BY x) - 1 AS i, count(*) OVER (PARTITION BY station, metric) AS n FROM v WHERE x IS NOT NULL AND isfinite(x))
+SELECT {_PAD} AS station_id, metric, n, probability, x AS exact, true AS within FROM x JOIN (SELECT unnest([{", ".join(f"{p}::DOUBLE" for p in PROBABILITIES)}]) AS probability) q ON i = CAST(floor(probability * (n - 1)) AS BIGINT)
 """,
 }

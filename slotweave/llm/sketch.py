@@ -64,3 +64,8 @@ def percentiles(sk: DataFrame, *, groups: Sequence[str], probabilities: Sequence
     at = lambda p: F.min(F.when(F.col("__seen") > F.floor(F.lit(p) * (F.col("__all") - 1)), F.col("bucket")))
     one = run.groupBy(*by).agg(F.max("__all").alias("n"), *[at(p).alias(name(p)) for p in probabilities])
     return one.select(*by, "n", *[value_of(F.col(name(p)), accuracy).alias(name(p)) for p in probabilities])
+
+
+def significant(x: Column, digits: int = 9) -> Column:
+    """Rounded to so many significant digits, however small or large (a fixed number of decimals would break the relative bound)."""
+    return F.format_string(f"%.{digits - 1}e", x).cast("double")

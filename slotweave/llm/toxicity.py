@@ -8,8 +8,8 @@ clean documents, so long texts do not score by chance. A document is flagged whe
 Spelling is normalised before anything else: look-alike letters, invisible characters, letters written with points between them, digits for
 letters, accents, escapes and joined words.
 
-Scale: labelled documents (``MAX_LABELLED`` at most, chosen by hash; the only sample) are reduced to counts per feature in Spark; the model
-(``MAX_FEATURES`` at most) is small and goes to the workers in the closure. Scoring is a map over all documents, whole texts, without shuffle:
+Scale: labelled documents (``MAX_LABELLED`` at most, chosen by hash; the only sample) are reduced to counts and scores per feature in Spark; the model
+(features of at least ``LEAST_DOCS`` of those documents that tell something, so bounded by the sample) goes to the workers in the closure. Scoring is a map over all documents, whole texts, without shuffle:
 the distinct chunks of an Arrow batch are normalised once, then scores are array lookups. Only documents, never passages, leave the map.
 """
 
@@ -22,7 +22,6 @@ import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,14 +30,15 @@ from slotweave.llm.bpe import slices
 from slotweave.runtime import cut
 
 MAX_LABELLED = 20_000
-MAX_FEATURES = 60_000
+#: A feature of a single document tells nothing of the others.
+LEAST_DOCS = 2
 PRIOR = 20.0
 UNKNOWN = -0.55
 DRIFT = 0.30
 DULL = 0.8
 LEAST = 1.0
 LEVEL = 0.01
-#: Log-odds a passage needs against odds of one in four hundred that a passage offends.
+#: Log-odds a passage needs at least: against odds of one in four hundred that a passage offends.
 LEAST_SUM = 6.0
 KEEP_CHUNKS = 300_000
 #: Words longer than this are looked at as several written together.
@@ -237,16 +237,34 @@ class Model:
             at += k
         return out
 
-    def calibrate(self, best: np.ndarray, n: np.ndarray) -> None:
-        """Fit the tail of clean documents' best segments: P(best > x) = 1 - exp(-K n exp(-rate x)).
+    def calibrate(self, best: np.ndarray, n: np.ndarray, top: float = 0.98) -> None:
+        """Fit the law of clean documents' best segments, P(best <= x) = exp(-K n exp(-rate x)), by maximum likelihood.
 
-        The rate comes from the median, as labels err.
+        Documents without a positive segment count as not above 0. As labels err, what lies above the quantile ``top`` counts only as
+        lying above it (censored), so a few offending documents among the clean ones do not stretch the tail.
         """
-        up = best[best > 0]
-        if len(up) < 5:
+        if np.count_nonzero(best > 0) < 5:
             return
-        self.rate = float(np.clip(math.log(2) / np.median(up), 0.1, 2.0))
-        self.k = len(up) / max(n.sum(), 1)
+        cap = float(np.quantile(best[best > 0], top))
+        n = np.maximum(n, 1).astype(float)
+        none, high = best <= 0, best > cap
+        x, m = best[~none & ~high], n[~none & ~high]
+
+        def loss(rate: float, log_k: float) -> float:
+            k = math.exp(log_k)
+            seen = np.log(k * m * rate) - rate * x - k * m * np.exp(-rate * x)
+            above = np.log(np.maximum(-np.expm1(-k * n[high] * math.exp(-rate * cap)), 1e-300))
+            return -(seen.sum() + above.sum() - k * n[none].sum())
+
+        # a coarse grid, then finer ones around the best
+        rates, logs = np.geomspace(0.05, 4.0, 40), np.linspace(-16.0, 2.0, 60)
+        for _ in range(4):
+            values = [(loss(r, k), r, k) for r in rates for k in logs]
+            _, self.rate, log_k = min(values)
+            i, j = int(np.argmin(np.abs(rates - self.rate))), int(np.argmin(np.abs(logs - log_k)))
+            rates = np.geomspace(rates[max(0, i - 1)], rates[min(len(rates) - 1, i + 1)], 15)
+            logs = np.linspace(logs[max(0, j - 1)], logs[min(len(logs) - 1, j + 1)], 15)
+        self.k = math.exp(log_k)
 
     def chance(self, best: float, n: int) -> float:
         """Probability that a clean document of ``n`` words has a segment as good."""
@@ -268,21 +286,21 @@ def consensus(labels: DataFrame, *, key: str = "doc_id", rater: str = "rater", l
     return odds.groupBy(key).agg(F.sum(F.when(F.col("x") > 0, F.col("w")).otherwise(-F.col("w"))).alias("o")).select(key, (1 / (1 + F.exp(F.lit(0.4) - F.col("o")))).alias("y"))
 
 
-def log_odds(counts: pd.DataFrame, n1: float, n0: float) -> pd.DataFrame:
+def log_odds(counts: DataFrame, n1: float, n0: float) -> DataFrame:
     """Adds ``score``: shrunk log-odds of a feature with prior counts from both classes together and from the lexicon.
 
     ``counts``: ``a`` and ``b`` (null for single words), ``c1`` and ``c0`` (weighted documents with the feature).
     """
-    c1, c0 = counts["c1"].to_numpy(), counts["c0"].to_numpy()
+    c1, c0 = F.col("c1"), F.col("c0")
     share = (c1 + c0) / (n1 + n0)
-    lex = counts["b"].isna().to_numpy() & counts["a"].isin(LEXICON).to_numpy()
-    y1 = c1 + PRIOR * share * n1 / (n1 + n0) + 0.05 + np.where(lex, 0.5, 0.0)
-    y0 = c0 + PRIOR * share * n0 / (n1 + n0) + 0.05 * n0 / n1
+    lex = F.when(F.col("b").isNull() & F.col("a").isin(sorted(set(LEXICON))), 0.5).otherwise(0.0)
+    y1 = c1 + share * (PRIOR * n1 / (n1 + n0)) + 0.05 + lex
+    y0 = c0 + share * (PRIOR * n0 / (n1 + n0)) + 0.05 * n0 / n1
     m1, m0 = n1 * (1 + PRIOR / (n1 + n0)) + 1, n0 * (1 + PRIOR / (n1 + n0)) + n0 / n1
-    delta = np.log(y1 / np.maximum(m1 - y1, 0.5)) - np.log(y0 / np.maximum(m0 - y0, 0.5))
-    trust = np.minimum(1.0, (np.abs(delta) / np.sqrt(1 / (y1 + 0.3) + 1 / (y0 + 0.3)) / 2.0) ** 2)
+    delta = F.log(y1 / F.greatest(m1 - y1, F.lit(0.5))) - F.log(y0 / F.greatest(m0 - y0, F.lit(0.5)))
+    trust = F.least(F.lit(1.0), F.pow(F.abs(delta) / F.sqrt(1 / (y1 + 0.3) + 1 / (y0 + 0.3)) / 2.0, F.lit(2.0)))
     firm = delta * trust
-    return counts.assign(score=np.clip(np.sign(firm) * np.maximum(np.abs(firm) - DULL, 0), -4.0, 4.0))
+    return counts.withColumn("score", F.greatest(F.lit(-1.5), F.least(F.lit(4.0), F.signum(firm) * F.greatest(F.abs(firm) - DULL, F.lit(0.0)))))
 
 
 CHUNK_TEXT = re.compile(r"[0-9A-Za-z_.@$*\\\-\u0080-\U0010ffff]+")
@@ -299,29 +317,26 @@ def doc_features(texts: list[str | None], spans: list[list[tuple[int, int]]] | N
             yield k, *p
 
 
-def wide(found: list[tuple[int, int, float]], n: int, least: float, pad: int = 0, most: int = 12) -> list[tuple[int, int]]:
-    """The best segments (``least`` at least) with some words around."""
-    top = sorted((x for x in found if x[2] >= least), key=lambda x: -x[2])[:most]
-    return [(max(0, a - pad), min(n, b + pad)) for a, b, _ in top]
+def telling(found: list[tuple[int, int, float]], least: float) -> list[tuple[int, int]]:
+    """The segments with a sum of ``least`` at least."""
+    return [(a, b) for a, b, x in found if x >= least]
 
 
-def model_of(counts: pd.DataFrame, n1: float, n0: float, passages: pd.DataFrame | None = None, s1: float = 0.0) -> Model:
+def model_of(counts: DataFrame, n1: float, n0: float, passages: DataFrame | None = None, s1: float = 0.0) -> Model:
     """Scores from document counts; given passages, of offending documents only these count, against whole clean documents.
 
-    So what merely surrounds offending words loses its score, and harmless use of the same words tells against them.
+    So what merely surrounds offending words loses its score, and harmless use of the same words tells against them. Known words without a score and
+    telling pairs make up the model that reaches the driver.
     """
     if passages is not None and s1 > 1:
-        counts = counts[["a", "b", "c0"]].merge(passages[["a", "b", "c1"]], how="left", on=["a", "b"]).fillna({"c1": 0.0})
+        p = passages.select(F.col("a").alias("__a"), F.col("b").alias("__b"), F.col("c1").alias("__c1"))
+        counts = counts.join(p, (F.col("a") == F.col("__a")) & F.col("b").eqNullSafe(F.col("__b")), "left").select("a", "b", "c0", F.coalesce("__c1", F.lit(0.0)).alias("c1"))
         n1 = s1
-    c = log_odds(counts, n1, n0)
-    c = c.assign(score=np.maximum(c["score"], -1.5))
+    c = log_odds(counts, n1, n0).where("b is null or abs(score) > 0.5").select("a", "b", "score").toPandas()
     single, pairs = c[c["b"].isna()], c[c["b"].notna()]
-    have = set(single["a"])
     one = dict(zip(single["a"], single["score"]))
     for w in LEXICON:
-        if w not in have:
-            one[w] = 2.0
-    pairs = pairs[pairs["score"].abs() > 0.5]
+        one.setdefault(w, 2.0)
     return Model(one, {(a, b): 0.6 * s for a, b, s in zip(pairs["a"], pairs["b"], pairs["score"])})
 
 
@@ -330,7 +345,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str =
     y = consensus(labels, key=key).orderBy(F.xxhash64(key), key).limit(MAX_LABELLED)
     lab = cut(docs.select(key, text).where(F.col(text).isNotNull()).join(y, key))
 
-    def counted(model: Model | None) -> tuple[pd.DataFrame, float, float]:
+    def counted(model: Model | None) -> tuple[DataFrame, float, float]:
         """Weighted documents with each feature, in the whole text or in the model's best passages; and the weights' sums."""
 
         def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -340,7 +355,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str =
                     texts, spans = b.column(text).to_pylist(), None
                     if model:
                         n, ids = w.sequences(b.column(text))
-                        spans = [wide(found, int(k), LEAST) for found, k in zip(model.best(n, ids), n)]
+                        spans = [telling(found, LEAST) for found in model.best(n, ids)]
                     f = list(doc_features(texts, spans, model and model.vocabulary))
                     f += [(k, None, None) for k in range(len(texts)) if spans is None or spans[k]]  # the document itself
                     yield pa.RecordBatch.from_arrays([b.column("y").take(pa.array([x[0] for x in f], pa.int64())), pa.array([x[1] for x in f], pa.string()), pa.array([x[2] for x in f], pa.string())], ["y", "a", "b"])
@@ -349,10 +364,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str =
         sums = cut(sums)
         size = sums.where("a is null").select("c1", "c0").first()
         n1, n0 = (size[0] + 1e-6, size[1] + 1e-6) if size else (1e-6, 1e-6)
-        # a feature of one document tells nothing; of the others the strongest stay
-        strength = F.abs(F.log((F.col("c1") + 0.1) / F.lit(n1)) - F.log((F.col("c0") + 0.1) / F.lit(n0))) * F.sqrt("n")
-        kept = sums.where("n > 1 and a is not null").orderBy(strength.desc(), "a", "b").limit(MAX_FEATURES).toPandas()
-        return kept, n1, n0
+        return sums.where(F.col("a").isNotNull() & ((F.col("n") >= LEAST_DOCS) if model is None else F.lit(True))), n1, n0
 
     whole, n1, n0 = counted(None)
     model = model_of(whole, n1, n0)

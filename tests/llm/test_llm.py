@@ -24,7 +24,11 @@ def test_twin(spark, name):
 @pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.ORACLES)))
 def test_runs(spark, name):
     df = queries.QUERIES[name](spark, BASE)
-    assert df.columns and df.count() >= 0
+    ids = {r.doc_id for r in spark.read.parquet(f"{BASE}/documents.parquet").select("doc_id").collect()}
+    got = df.collect()
+    assert got and (not {"doc_id"} <= set(df.columns) or {r.doc_id for r in got} <= ids)
+    if name in ("p8_ids", "p10_scores"):
+        assert len(got) == len(ids)
 
 
 def pairs(spark, left, right, tol=900, first=60):
@@ -71,6 +75,19 @@ def test_sketch_error_and_merge(spark):
         exact = s[int(np.floor(p * (len(s) - 1)))]
         assert abs(got - exact) <= 0.01 * abs(exact) + 1e-12
     assert sketch.sketch(df.where("false"), groups=["g"], values=["v"]).count() == 0
+    assert [r[0] for r in spark.createDataFrame([(1.234567891234e-9,), (-987654321.987,), (0.0,)], "x double").select(sketch.significant(F.col("x"))).collect()] == [1.23456789e-9, -987654322.0, 0.0]
+
+
+def test_extreme_value_law_is_found_again():
+    rng = np.random.default_rng(2)
+    n = rng.integers(50, 3000, 4000)
+    best = np.maximum(0, (np.log(0.002 * n) - np.log(-np.log(rng.random(4000)))) / 0.7)
+    m = toxicity.Model({"a": 1.0}, {})
+    m.calibrate(best, n)
+    assert abs(m.rate - 0.7) < 0.05 and abs(np.log(m.k / 0.002)) < 0.25
+    best[:60] = 40.0  # mistaken labels do not stretch the tail without end
+    m.calibrate(best, n)
+    assert m.rate > 0.5 and m.chance(40.0, 1000) < 1e-6
 
 
 def public_encoder():
@@ -106,6 +123,24 @@ def sizes(spark, rows_):
     return spark.createDataFrame(rows_, "doc_id long, source string, size long, share string, cap string").withColumn("h", mixture.hash_of("doc_id"))
 
 
+def test_thresholds_are_those_of_records_in_order_of_hash(spark):
+    """Against brute force: records of a source taken by hash until the budget is met as nearly as whole records can."""
+    rng = random.Random(4)
+    rows_ = [(i, rng.choice("ab"), rng.randint(1, 90), "", "") for i in range(4000)]
+    t = spark.createDataFrame([("a", 0.25, 1), ("b", 0.75, 3)], "source string, target_share double, max_repeats int")
+    s = sizes(spark, rows_)
+    _, shares = mixture.mix(s, t, fractions=[0.1, 0.77])
+    h = {r.doc_id: r.h for r in s.collect()}
+    for r in shares.collect():
+        own = sorted((h[i], n) for i, src, n, *_ in rows_ if src == r.source)
+        total = sum(n for _, n in own)
+        rest, best, run = r.want % total, 0, 0
+        for _, n in own:
+            run += n
+            best = run if abs(run - rest) < abs(best - rest) else best
+        assert r.got == r.want // total * total + best
+
+
 def test_mixture_reaches_targets_and_nests(spark):
     rng = random.Random(3)
     rows_ = [(i, rng.choice("aaaab"), rng.randint(1, 60), "", "") for i in range(3000)] + [(9000 + i, "c", 20, "", "") for i in range(30)] + [(1, None, 5, "", ""), (2, "zz", 5, "", ""), (3, "a", 0, "", ""), (4, "a", None, "", "")]
