@@ -121,10 +121,10 @@ def decisions(spark: SparkSession, base: str) -> DataFrame:
     return w.select("station_id", F.col("t_us").alias("us"), F.col("warning_id").alias("row_id"), F.col("p_rain").alias("p"), F.coalesce(F.col("eta_min") <= 1.5, F.lit(False)).alias("raining"))
 
 
-def replay_sql(thresholds: list[int]) -> str:
+def replay_sql(thresholds: list[int], gap_us: int = 7_200_000_000) -> str:
     """CTEs up to ``st``: the rule's state after every row, by recursion over the rows of a run."""
     return f"""dc AS (SELECT sid AS station_id, t_us AS us, warning_id AS row_id, p_rain AS p, coalesce(eta_min <= 1.5, false) AS raining FROM w),
-d1 AS (SELECT *, CASE WHEN us - lag(us) OVER (PARTITION BY station_id ORDER BY us) > 7200000000 THEN 1 ELSE 0 END AS nw FROM dc),
+d1 AS (SELECT *, CASE WHEN us - lag(us) OVER (PARTITION BY station_id ORDER BY us) > {gap_us} THEN 1 ELSE 0 END AS nw FROM dc),
 d2 AS (SELECT *, CAST(sum(nw) OVER (PARTITION BY station_id ORDER BY us RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS run FROM d1),
 d3 AS (SELECT *, row_number() OVER (PARTITION BY station_id, run ORDER BY us, row_id) AS k FROM d2),
 st AS (SELECT DISTINCT t.thr, station_id, run, 0::BIGINT AS k, NULL::BIGINT AS row_id, NULL::BIGINT AS us, true AS armed, NULL::BIGINT AS below, NULL::BIGINT AS seen, false AS notified, 0 AS calm, false AS cleared, 'none' AS action, 0 AS streak

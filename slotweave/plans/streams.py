@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slotweave.functions.text import station_number
 from slotweave.functions.timeexpr import micros
-from slotweave.plans.gauges import warnings
+from slotweave.plans.gauges import _WARN, warnings
+from slotweave.plans.scoring import decisions, replay_sql
+from slotweave.runtime import table
 from slotweave.streaming import pipelines as P
 
 QUERIES: dict = {}
@@ -24,27 +25,40 @@ def query(sql: str | None = None):
     return add
 
 
-@query("SELECT station_id, parameter_id, epoch_us(date_trunc('hour', observed_utc)) AS hour_us, count(*) AS n, count(value) AS n_known, round(sum(CAST(value AS DOUBLE)), 3) AS total FROM observations GROUP BY 1, 2, 3")
+def arrival():
+    return F.coalesce(micros("created_utc"), micros("observed_utc"))
+
+
+@query(
+    """SELECT station_id, parameter_id, epoch_us(date_trunc('hour', observed_utc)) AS hour_us, count(*) AS n, count(value) AS n_known, round(sum(CAST(value AS DOUBLE)), 3) AS total FROM observations
+WHERE coalesce(created_utc, observed_utc) <= date_trunc('hour', observed_utc) + INTERVAL 25 HOUR GROUP BY 1, 2, 3"""
+)
 def stream_slot_counts(spark: SparkSession, base: str) -> DataFrame:
-    return P.run(P.slot_counts(P.read(spark, base, "observations"), "4000 days"), "complete")
+    """Hourly counts as last published: readings come in order of arrival, in four batches."""
+    return P.latest(P.feed(table(spark, base, "observations"), arrival(), P.slot_counts, mode="update"), ["station_id", "parameter_id", "hour_us"])
 
 
 @query("""WITH w AS (SELECT station_id, epoch_us(warned_at_utc) // 600000000 * 600000000 - i * 600000000 AS from_us FROM warnings_scored, range(3) t(i) WHERE warned_at_utc IS NOT NULL) SELECT station_id, CAST(from_us AS BIGINT) AS from_us, count(*) AS n FROM w GROUP BY 1, 2""")
 def stream_sliding_counts(spark: SparkSession, base: str) -> DataFrame:
-    return P.run(P.sliding_counts(P.read(spark, base, "warnings_scored"), "4000 days"), "complete")
+    return P.latest(P.feed(table(spark, base, "warnings_scored"), micros("warned_at_utc"), P.sliding_counts, mode="update"), ["station_id", "from_us"])
 
 
-@query("SELECT DISTINCT station_id, parameter_id, epoch_us(observed_utc) AS us FROM observations")
+@query(
+    """SELECT station_id, parameter_id, epoch_us(observed_utc) AS us, obs_id, round(CAST(value AS DOUBLE), 6) AS value FROM (
+  SELECT *, row_number() OVER (PARTITION BY station_id, observed_utc, parameter_id ORDER BY coalesce(created_utc, observed_utc) DESC, obs_id DESC) AS k FROM observations) WHERE k = 1"""
+)
 def stream_deduplicated(spark: SparkSession, base: str) -> DataFrame:
-    return P.run(P.deduplicated(P.read(spark, base, "observations"), "4000 days").select("station_id", "parameter_id", micros("observed_utc").alias("us")))
+    """The observation store kept by a stream: every batch is merged into the days it touches, the last delivery of a key wins."""
+    path = P.scratch(spark) + "/store"
+    sink = P.last_deliveries(path, ["station_id", "observed_utc", "parameter_id"], [arrival(), F.col("obs_id")], "day")
+    P.feed(table(spark, base, "observations"), arrival(), lambda s: s.withColumn("day", F.to_date("observed_utc")), sink=sink)
+    return spark.read.parquet(path).select("station_id", "parameter_id", micros("observed_utc").alias("us"), "obs_id", F.round(F.col("value").cast("double"), 6).alias("value"))
 
 
-@query()
+@query(f"WITH RECURSIVE {_WARN}, {replay_sql([60], gap_us=10**17)} SELECT station_id, row_id, us, action FROM st WHERE k > 0 AND action <> 'none'")
 def stream_decisions(spark: SparkSession, base: str) -> DataFrame:
     """The notification rule as keyed state over the stream of warnings."""
-    w = P.read(spark, base, "warnings_scored").where("station_id is not null and warned_at_utc is not null")
-    d = w.select(station_number(F.col("station_id")).alias("station_id"), micros("warned_at_utc").alias("us"), F.col("warning_id").alias("row_id"), F.col("p_rain").alias("p"), F.coalesce(F.col("eta_min") <= 1.5, F.lit(False)).alias("raining"))
-    return P.run(P.decide(d, 60))
+    return P.feed(decisions(spark, base), F.col("us"), lambda d: P.decide(d, 60)).drop("batch")
 
 
 @query(
@@ -53,10 +67,9 @@ k AS (SELECT *, row_number() OVER (PARTITION BY station_id, observed_utc ORDER B
 SELECT station_id, pane_us, count(*) AS n, CAST(sum(a) AS BIGINT) AS amount FROM k WHERE i = 1 GROUP BY 1, 2"""
 )
 def stream_live_panes(spark: SparkSession, base: str) -> DataFrame:
-    """The last emission of every pane."""
-    e = P.run(P.live_panes(P.read(spark, base, "observations")))
-    last = F.max(F.struct("arrived_us", "n", "amount"))
-    return e.groupBy("station_id", "pane_us").agg(last.alias("m")).select("station_id", "pane_us", "m.n", "m.amount")
+    """The last emission of every pane; readings come in order of arrival, in four batches."""
+    e = P.latest(P.feed(table(spark, base, "observations"), arrival(), P.live_panes), ["station_id", "pane_us"])
+    return e.select("station_id", "pane_us", "n", "amount")
 
 
 @query(

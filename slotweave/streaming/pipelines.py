@@ -1,22 +1,26 @@
-"""Structured Streaming pipelines: slots, sessions, deduplication, late panes and the notification rule as keyed state.
+"""Structured Streaming pipelines: slots, sliding windows, deduplication, late panes and the notification rule as keyed state.
 
-Each runs over files with ``availableNow`` and writes a Parquet table; the checkpoint and the sink lie in the shared folder
-``spark.checkpoint.dir`` of the session (a temporary folder where that is unset).
+Each reads a folder of files with ``availableNow`` and writes a Parquet table; checkpoint, sink and feed lie in the shared folder
+``spark.checkpoint.dir`` of the session and belong to the run: ``feed`` plays a table in as files in order of arrival, one micro-batch after another, so late rows
+do meet state of earlier batches. Watermarks bound all state but the rule's (one small row a station).
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from slotweave.functions.timeexpr import MICROS, floor_us, micros
+from slotweave.functions.timeexpr import MICROS, floor_us, instant, micros
 from slotweave.operators import matching
 from slotweave.runtime import shared_folder
+from slotweave.sources import store
 
 
 def scratch(spark: SparkSession) -> str:
@@ -29,41 +33,85 @@ def read(spark: SparkSession, base: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 64).parquet(f"{base}/{name}.parquet*")
 
 
+def start(stream: DataFrame, at: str, mode: str, sink: Callable[[DataFrame, int], None] | None = None):
+    """Run to the end of what is there; the batches go to ``sink``, or with their number to the table ``at/sink``."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        # a batch that runs again replaces itself
+        batch.write.mode("overwrite").parquet(f"{at}/sink/batch={number}")
+
+    w = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/state").trigger(availableNow=True)
+    q = w.foreachBatch(sink or write).start()
+    q.awaitTermination()
+    return q
+
+
+def written(stream: DataFrame, at: str) -> DataFrame:
+    """The table written, with the number of the batch each row came in."""
+    schema = T.StructType([*stream.schema.fields, T.StructField("batch", T.IntegerType())])
+    return stream.sparkSession.read.schema(schema).parquet(f"{at}/sink")
+
+
 def run(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Run to the end of what is there and read the result."""
-    spark = stream.sparkSession
-    at = scratch(spark)
-    w = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/state").trigger(availableNow=True)
-    if mode == "append":
-        w = w.format("parquet").option("path", f"{at}/sink")
-    else:
+    at = scratch(stream.sparkSession)
+    start(stream, at, mode)
+    return written(stream, at).drop("batch")
+
+
+def feed(
+    rows: DataFrame, arrival: Column, build: Callable[[DataFrame], DataFrame], *, parts: int = 4, mode: str = "append", sink: Callable[[DataFrame, int], None] | None = None, progress: list | None = None
+) -> DataFrame:
+    """Play ``rows`` in, in order of arrival (microseconds) and ``parts`` files, and run the stream ``build`` makes of them on after each; the rows written, with their ``batch``.
+
+    The borders are quantiles of the arrival (a few numbers on the driver). Rows without arrival never arrive. ``progress`` takes the last progress of each run.
+    """
+    spark, at = rows.sparkSession, scratch(rows.sparkSession)
+    timed = rows.withColumn("__at", arrival).where("__at is not null")
+    inner = timed.approxQuantile("__at", [k / parts for k in range(1, parts)], 0.001)
+    borders = [float("-inf"), *sorted(set(inner)), float("inf")]
+    stream = build(spark.readStream.schema(rows.schema).parquet(f"{at}/in/*"))
+    for k, (lo, hi) in enumerate(zip(borders, borders[1:])):
+        timed.where((F.col("__at") > lo) & (F.col("__at") <= hi)).drop("__at").write.parquet(f"{at}/in/part{k}")
+        q = start(stream, at, mode, sink)
+        if progress is not None:
+            progress.append(q.lastProgress)
+    return stream if sink else written(stream, at)
 
-        def write(batch: DataFrame, number: int) -> None:
-            batch.write.mode("overwrite").parquet(f"{at}/sink")
 
-        w = w.foreachBatch(write)
-    w.start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{at}/sink")
+def latest(emitted: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Of each key the row of the last batch (``update`` mode publishes a key whenever it changes)."""
+    return store.dedupe_last(emitted, keys, [F.col("batch")]).drop("batch")
 
 
-def slot_counts(obs: DataFrame, watermark: str = "30 days") -> DataFrame:
-    """Tumbling hours of event time per station and parameter: readings, known values and total."""
-    o = obs.withWatermark("observed_utc", watermark)
+def slot_counts(obs: DataFrame, cutoff_min: int = 1440) -> DataFrame:
+    """Tumbling hours of event time per station and parameter: readings, known values and total, of deliveries up to ``cutoff_min`` after the hour.
+
+    The watermark runs two cut-offs behind the newest reading, so no delivery within the cut-off comes too late for it, and state of older hours is dropped.
+    """
+    us = micros("observed_utc")
+    end = floor_us(us, 3600 * MICROS) + F.lit((60 + cutoff_min) * 60 * MICROS)
+    o = obs.where(F.coalesce(micros("created_utc"), us) <= end).withWatermark("observed_utc", f"{2 * cutoff_min} minutes")
     g = o.groupBy(F.window("observed_utc", "1 hour").alias("w"), "station_id", "parameter_id").agg(F.count(F.lit(1)).alias("n"), F.count("value").alias("n_known"), F.round(F.sum(F.col("value").cast("double")), 3).alias("total"))
     return g.select("station_id", "parameter_id", micros(F.col("w.start")).alias("hour_us"), "n", "n_known", "total")
 
 
-def sliding_counts(warned: DataFrame, watermark: str = "30 days") -> DataFrame:
+def sliding_counts(warned: DataFrame, watermark: str = "1 hour") -> DataFrame:
     """Windows of thirty minutes every ten: warnings per station (a ring buffer of recent events)."""
     g = warned.withWatermark("warned_at_utc", watermark).groupBy(F.window("warned_at_utc", "30 minutes", "10 minutes").alias("w"), "station_id").agg(F.count(F.lit(1)).alias("n"))
     return g.select("station_id", micros(F.col("w.start")).alias("from_us"), "n")
 
 
-def deduplicated(obs: DataFrame, watermark: str = "30 days") -> DataFrame:
-    """The first delivery of each key within the watermark."""
+def first_deliveries(obs: DataFrame, watermark: str = "3 days") -> DataFrame:
+    """The first delivery of each key within the watermark, for consumers that cannot take a row back."""
     return obs.withWatermark("observed_utc", watermark).dropDuplicatesWithinWatermark(["station_id", "observed_utc", "parameter_id"])
 
 
+def last_deliveries(path: str, keys: Sequence[str], order: Sequence[Column], partition: str) -> Callable[[DataFrame, int], None]:
+    """A sink that keeps a table with the last delivery of each key: every batch is merged into the partitions it touches; a batch that runs again changes nothing."""
+    return lambda batch, number: store.append_idempotent(batch.sparkSession, path, batch, keys, order, partition)
+
+
 RULE_STATE = "armed boolean, streak int, below long, seen long, notified boolean, calm int, cleared boolean"
 ACTION = "station_id string, row_id long, us long, action string"
 
@@ -92,31 +140,39 @@ def decide(decisions: DataFrame, threshold: float) -> DataFrame:
 
 PANE_STATE = "event_us array<long>, arrival_us array<long>, ids array<long>, amounts array<long>"
 PANE = "station_id string, pane_us long, n long, amount long, arrived_us long"
+_COLS = ["event_us", "arrival_us", "id", "amount"]
+
 
+def pane_step(cutoff_us: int) -> Callable:
+    """Keeps a pane's readings; emits its count and total whenever a batch changes them; forgets the pane when the watermark of arrival passes its cut-off."""
 
-def pane_step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Keeps a pane's readings; emits its count and total whenever a batch changes them."""
-    held = {e: (a, i, v) for e, a, i, v in zip(*state.get)} if state.exists else {}
-    before = (len(held), sum(x[2] for x in held.values()))
-    latest = 0
-    for b in batches:
-        for r in b.itertuples(index=False):
-            latest = max(latest, int(r.arrival_us))
-            new = (int(r.arrival_us), int(r.id), int(r.amount))
-            if int(r.event_us) not in held or held[int(r.event_us)][:2] < new[:2]:
-                held[int(r.event_us)] = new
-    after = (len(held), sum(x[2] for x in held.values()))
-    state.update(([*held], *[[x[k] for x in held.values()] for k in range(3)]))
-    if after != before:
-        yield pd.DataFrame([(key[0], int(key[1]), *after, latest)], columns=["station_id", "pane_us", "n", "amount", "arrived_us"])
+    def work(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        held = pd.DataFrame(dict(zip(_COLS, state.get))) if state.exists else pd.DataFrame({c: np.zeros(0, np.int64) for c in _COLS})
+        before = len(held), int(held["amount"].sum())
+        new = pd.concat([b[_COLS] for b in batches])
+        # of a key's deliveries the one arrived last counts, then the greater id
+        held = pd.concat([held, new]).sort_values(["event_us", "arrival_us", "id"]).drop_duplicates("event_us", keep="last")
+        after = len(held), int(held["amount"].sum())
+        state.update(tuple(held[c].astype("int64").tolist() for c in _COLS))
+        state.setTimeoutTimestamp(max((int(key[1]) + cutoff_us) // 1000, state.getCurrentWatermarkMs() + 1))
+        if after != before:
+            yield pd.DataFrame([(key[0], int(key[1]), *after, int(new["arrival_us"].max()))], columns=["station_id", "pane_us", "n", "amount", "arrived_us"])
+
+    return work
 
 
 def live_panes(obs: DataFrame, pane_min: int = 60, cutoff_min: int = 1440) -> DataFrame:
-    """Hourly panes of rain as keyed state: only panes a batch touches are worked on and emitted; rows after the cut-off are dropped."""
-    v = F.col("value").cast("double")
-    us = micros("observed_utc")
+    """Hourly panes of rain as keyed state: only panes a batch touches are worked on and emitted; rows after the cut-off are dropped, and so is the state then.
+
+    The watermark is on arrival, so rows must come in order of it (but for ten minutes).
+    """
+    v, us = F.col("value").cast("double"), micros("observed_utc")
     rows = obs.where("parameter_id = 'precip_past10min' and value is not null and not isnan(value) and station_id is not null and observed_utc is not null").select(
         "station_id", floor_us(us, pane_min * 60 * MICROS).alias("pane_us"), us.alias("event_us"), F.coalesce(micros("created_utc"), us).alias("arrival_us"), F.col("obs_id").alias("id"), F.round(F.greatest(v, F.lit(0.0)) * 10).cast("long").alias("amount")
     )
-    rows = rows.where(F.col("arrival_us") <= F.col("pane_us") + F.lit((pane_min + cutoff_min) * 60 * MICROS))
-    return rows.groupBy("station_id", "pane_us").applyInPandasWithState(pane_step, PANE, PANE_STATE, "append", GroupStateTimeout.NoTimeout)
+    reach = (pane_min + cutoff_min) * 60 * MICROS
+    rows = rows.where(F.col("arrival_us") <= F.col("pane_us") + F.lit(reach)).withColumn("arrived", instant(F.col("arrival_us"))).withWatermark("arrived", "10 minutes")
+    return rows.groupBy("station_id", "pane_us").applyInPandasWithState(pane_step(reach), PANE, PANE_STATE, "append", GroupStateTimeout.EventTimeTimeout)

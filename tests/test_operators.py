@@ -4,7 +4,6 @@ import datetime as dt
 import random
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import functions as F
 
 from slotweave.functions.text import station_number
@@ -98,6 +97,8 @@ def test_stream_rule_equals_batch(spark, tmp_path):
     df = spark.createDataFrame(rows, "station_id string, us long, row_id long, p double, raining boolean")
     df.coalesce(1).write.parquet(str(tmp_path / "d.parquet"))
     live = pipelines.run(pipelines.decide(pipelines.read(spark, str(tmp_path), "d"), 60))
+    fed = pipelines.feed(df, F.col("us"), lambda d: pipelines.decide(d, 60), parts=3)
+    assert {(r.row_id, r.action) for r in live.collect()} == {(r.row_id, r.action) for r in fed.collect()} and fed.select("batch").distinct().count() == 3
     batch = matching.replay(df, thresholds=[60], gap_min=10**6)
     assert {(r.row_id, r.action) for r in live.collect()} == {(r.row_id, r.action) for r in batch.collect()}
 
@@ -216,11 +217,23 @@ def test_ensemble_by_hand(spark):
     assert (r.p_5, r.p_10, r.p_15, r.eta_min) == (0.25, 0.5, 0.75, 10)
 
 
-def test_live_panes_correct_themselves(spark, tmp_path):
+def test_live_panes_are_corrected_later_and_forgotten(spark):
+    """A pane emitted in one batch is corrected in a later one; past the cut-off its state goes."""
     t = dt.datetime(2026, 5, 1, tzinfo=dt.timezone.utc)
-    cols = ["obs_id", "station_id", "observed_utc", "parameter_id", "value", "created_utc"]
-    first = [(1, "a", t, "precip_past10min", 1.0, t), (2, "a", t, "precip_past10min", 2.0, t + dt.timedelta(hours=2)), (3, "a", t, "precip_past10min", 9.0, t + dt.timedelta(days=3))]
-    pdf = pd.DataFrame(first, columns=cols)
-    spark.createDataFrame(pdf).coalesce(1).write.parquet(str(tmp_path / "observations.parquet"))
-    r = pipelines.run(pipelines.live_panes(pipelines.read(spark, str(tmp_path), "observations"))).collect()
-    assert [(x.n, x.amount) for x in r] == [(1, 20)]
+    h = dt.timedelta(hours=1)
+    data = [(1, "a", t, 1.0, t), (2, "a", t + h / 6, 0.5, t + h / 6), (3, "a", t, 2.0, t + 5 * h), (4, "b", t + 6 * h, 1.0, t + 6 * h), (5, "a", t + h / 6, 9.0, t + 25.5 * h), (6, "b", t + 40 * h, 1.0, t + 40 * h), (7, "b", t + 60 * h, 1.0, t + 60 * h), (8, "b", t + 61 * h, 0.2, t + 61 * h)]
+    df = spark.createDataFrame([(i, s, o, "precip_past10min", v, c) for i, s, o, v, c in data], "obs_id long, station_id string, observed_utc timestamp, parameter_id string, value double, created_utc timestamp")
+    seen = []
+    e = pipelines.feed(df, F.unix_micros("created_utc"), pipelines.live_panes, parts=4, progress=seen)
+    a = [(r.batch, r.n, r.amount) for r in e.where("station_id = 'a'").orderBy("batch").collect()]
+    assert [x[1:] for x in a] == [(2, 15), (2, 25)] and a[0][0] < a[1][0]
+    kept = [p["stateOperators"][0]["numRowsTotal"] for p in seen]
+    assert len({(r.station_id, r.pane_us) for r in e.collect()}) == 5 and kept[-1] < 5
+
+
+def test_streamed_store_keeps_the_last_delivery(spark):
+    rows = [(k % 7, k, f"d{k % 7 % 2}") for k in range(40)]
+    path = pipelines.scratch(spark) + "/t"
+    df = spark.createDataFrame(rows, "k long, at long, day string")
+    pipelines.feed(df, F.col("at"), lambda s: s, sink=pipelines.last_deliveries(path, ["k"], [F.col("at")], "day"))
+    assert {(r.k, r["at"]) for r in spark.read.parquet(path).collect()} == {(k, max(a for i, a, _ in rows if i == k)) for k in range(7)}
