@@ -279,33 +279,3 @@ def hysteresis(spark: SparkSession, base: str) -> DataFrame:
     h = carried(h, ["station_id"], "block", {"m": last}, {"before": ("last", F.col("m"))})  # one row a block carries the state on
     w = W.partitionBy("station_id", "block").orderBy("us", "obs_id").rowsBetween(W.unboundedPreceding, 0)
     return h.select("obs_id", F.coalesce(F.last("mark", ignorenulls=True).over(w), "before", F.lit(0)).alias("state"))
-
-
-@query(
-    f"""WITH {_ST}, d AS (SELECT count(*) AS n FROM st), x AS (SELECT station_id, row_number() OVER (ORDER BY station_id) - 1 AS k FROM st),
-c AS (SELECT event_time, point_id, lead_min, frame_age_min, CAST(substr(point_id, 3) AS BIGINT) % (SELECT n FROM d) AS k, epoch(CAST(event_time AS TIMESTAMPTZ)) AS t FROM calibration_corpus WHERE point_set = 'gauge' AND frame_age_min IS NOT NULL AND NOT isnan(frame_age_min)),
-e AS (SELECT DISTINCT event_time, point_id, lead_min, station_id, t, CAST(ceil((lead_min + CAST(frame_age_min AS DOUBLE)) / 10.0 - 1e-9) * 10 AS BIGINT) AS target FROM c JOIN x USING (k)),
-r AS (SELECT station_id, CAST(round_even(epoch_us(observed_utc) / 600000000.0, 0) AS BIGINT) AS slot, max(CASE WHEN NOT isnan(value) THEN greatest(CAST(value AS DOUBLE), 0) END) AS mm FROM observations WHERE parameter_id = 'precip_past10min' AND value IS NOT NULL GROUP BY 1, 2),
-p AS (SELECT e.*, unnest(range(10, target + 1, 10)) AS off FROM e),
-j AS (SELECT p.event_time, p.point_id, p.lead_min, p.target, off, mm FROM p LEFT JOIN r ON p.station_id = r.station_id AND r.slot = CAST(round_even((p.t + off * 60) / 600.0, 0) AS BIGINT))
-SELECT event_time, point_id, lead_min, target, count(mm) AS n_observed, round(sum(mm), 6) AS gauge_mm_window, round(max(mm) FILTER (off = target), 6) AS gauge_mm,
- CASE WHEN count(mm) FILTER (off = target) = 0 THEN NULL WHEN max(mm) >= 0.1 THEN 1 ELSE 0 END AS gauge_outcome FROM j GROUP BY 1, 2, 3, 4"""
-)
-def gauge_joined_corpus(spark: SparkSession, base: str) -> DataFrame:
-    """Corpus rows with their gauge's truth at the verification slots: wet within the window; null without the final slot."""
-    st = present(spark, base)
-    n = st.agg(F.count(F.lit(1)).alias("n"))
-    x = st.withColumn("k", F.row_number().over(W.orderBy("station_id")) - 1)  # one row a station
-    c = table(spark, base, "calibration_corpus").where("point_set = 'gauge' and frame_age_min is not null and not isnan(frame_age_min)")
-    c = c.join(F.broadcast(n)).withColumn("k", F.substring("point_id", 3, 20).cast("long") % F.col("n"))  # n is one row
-    t = F.unix_timestamp(F.to_timestamp("event_time"))
-    target = (F.ceil((F.col("lead_min") + F.col("frame_age_min").cast("double")) / 10.0 - 1e-9) * 10).cast("long")
-    e = c.join(x, "k").select("event_time", "point_id", "lead_min", "station_id", t.alias("t"), target.alias("target")).distinct()
-    v = G.amount(F.col("value"))
-    r = table(spark, base, "observations").where("parameter_id = 'precip_past10min'").select("station_id", F.bround(micros("observed_utc") / F.lit(6e8)).cast("long").alias("slot"), v.alias("mm")).where("mm is not null").groupBy("station_id", "slot").agg(F.max("mm").alias("mm"))
-    p = e.withColumn("off", F.explode(F.sequence(F.lit(10).cast("long"), F.greatest(F.col("target"), F.lit(10)), F.lit(10).cast("long"))))
-    p = p.withColumn("slot", F.bround((F.col("t") + F.col("off") * 60) / 600.0).cast("long"))
-    j = p.join(r, ["station_id", "slot"], "left")
-    final = F.max(F.when(F.col("off") == F.col("target"), F.col("mm")))
-    out = j.groupBy("event_time", "point_id", "lead_min", "target").agg(F.count("mm").alias("n_observed"), F.sum("mm").alias("gauge_mm_window"), final.alias("gauge_mm"), F.when(final.isNull(), None).when(F.max("mm") >= 0.1, 1).otherwise(0).alias("gauge_outcome"))
-    return r6(out, "gauge_mm_window", "gauge_mm")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from slotweave.plans import extras, gauges, grids, problems, problems_sql, reports, scoring, streams
+from slotweave.plans import extras, gauges, grids, problems, problems_sql, reports, scoring, streams, truth
 
-_MODULES = (problems, reports, gauges, scoring, grids, streams, extras)
+_MODULES = (problems, reports, gauges, scoring, grids, streams, extras, truth)
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
