@@ -67,3 +67,32 @@ def divergence(grid: DataFrame, by: list[str], vx: str, vy: str) -> DataFrame:
     dx = (F.lead(vx).over(wr) - F.lag(vx).over(wr)) / 2
     dy = (F.lead(vy).over(wc) - F.lag(vy).over(wc)) / 2
     return grid.withColumn("d", F.abs(dx + dy)).groupBy(*by).agg(F.avg("d").alias("divergence"), F.count("d").alias("n"))
+
+
+def array_quantile(sorted_: Column, q: float) -> Column:
+    """Quantile (linear) of a sorted array; null for an empty one."""
+    pos = F.lit(float(q)) * (F.size(sorted_) - 1)
+    lo, hi = F.get(sorted_, F.floor(pos).cast("int")), F.get(sorted_, F.ceil(pos).cast("int"))
+    return F.when(F.size(sorted_) > 0, lo + (pos - F.floor(pos)) * (hi - lo))
+
+
+def ensemble_features(cells: DataFrame, *, members: str, leads: dict[int, int], threshold: float, step_min: int, least: int) -> DataFrame:
+    """Adds ``mean_<lead>`` and ``p90_<lead>`` of the members' greatest rate by the lead, ``n_arrive`` and ``eta_spread`` (p75 - p25 of arrivals, if ``least`` arrive)."""
+    top = lambda k: F.array_sort(F.transform(members, lambda m: F.array_max(F.slice(m, 1, k)).cast("double")))
+    out = cells
+    for lead, k in leads.items():
+        s = top(k)
+        out = out.withColumns({f"mean_{lead}": F.aggregate(s, F.lit(0.0), lambda a, x: a + x) / F.size(s), f"p90_{lead}": array_quantile(s, 0.9)})
+    first = F.transform(members, lambda m: F.coalesce(F.array_position(F.transform(m, lambda x: x >= F.lit(threshold)), True), F.lit(0)).cast("double"))
+    arr = F.array_sort(F.filter(first, lambda k: k > 0))
+    spread = (array_quantile(arr, 0.75) - array_quantile(arr, 0.25)) * F.lit(step_min)
+    return out.withColumns({"n_arrive": F.size(arr).cast("long"), "eta_spread": F.when(F.size(arr) >= least, spread)})
+
+
+def disc_members(grid: DataFrame, centres: DataFrame, *, radius: int, members: str, n_members: int, n_steps: int) -> DataFrame:
+    """``id, members``: per centre the greatest rate of each member and step within ``radius``: offsets meet cells by an equi-join, maxima per element with map-side combine."""
+    offs = [(i, j) for i in range(-radius, radius + 1) for j in range(-radius, radius + 1) if i * i + j * j <= radius * radius]
+    near = centres.select("id", F.explode(F.array(*[F.struct((F.col("row") + i).alias("row"), (F.col("col") + j).alias("col")) for i, j in offs])).alias("c")).select("id", "c.row", "c.col")
+    met = near.join(grid.select("row", "col", members), ["row", "col"])
+    top = met.groupBy("id").agg(*[F.max(F.get(F.get(members, F.lit(m)), F.lit(k))).alias(f"x{m}_{k}") for m in range(n_members) for k in range(n_steps)])
+    return top.select("id", F.array(*[F.array(*[F.col(f"x{m}_{k}") for k in range(n_steps)]) for m in range(n_members)]).alias("members"))

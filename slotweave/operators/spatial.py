@@ -164,16 +164,17 @@ def pieces(box: tuple[float, float, float, float]) -> list[tuple[float, float, f
     return [box]
 
 
-def near_pairs(places: DataFrame, key: str, km: float) -> DataFrame:
+def near_pairs(places: DataFrame, key: str, km: float, group: str | None = None) -> DataFrame:
     """Pairs of places within ``km`` of each other, both ways round: ``a, b, km, bearing`` (from a to b).
 
     ``places``: ``key, lat, lon`` (degrees, longitudes within [-180, 180]). Bands of latitude as high as the distance, each cut into cells at least as wide as the distance is anywhere in
     the band or its neighbours; a place is copied to the cells its circle can touch in three bands, over the 180th meridian and the poles too. An equi-join, no cross join; rows with a null or NaN value
-    match nothing, equal keys are no pair.
+    match nothing, equal keys are no pair. With ``group`` only places of one group are paired (a null group pairs nothing), and the column is kept.
     """
     r = km / EARTH_KM
     size = math.degrees(r) * 1.000001
-    ok = places.select(key, "lat", "lon").where(f"{key} is not null and lat is not null and lon is not null and not isnan(lat) and not isnan(lon)")
+    more = [group] if group else []
+    ok = places.select(key, "lat", "lon", *more).where(f"{key} is not null and lat is not null and lon is not null and not isnan(lat) and not isnan(lon)")
 
     def cells(band: Column) -> Column:
         """How many cells a band has, by its latitude farthest from the equator (as of the neighbours)."""
@@ -183,13 +184,13 @@ def near_pairs(places: DataFrame, key: str, km: float) -> DataFrame:
 
     at = lambda lon, n: F.floor(F.pmod(lon + 180.0, F.lit(360.0)) / (F.lit(360.0) / n)).cast("long")
     band = F.floor(F.col("lat") / F.lit(size)).cast("long")
-    a = ok.select(F.col(key).alias("a"), F.col("lat").alias("alat"), F.col("lon").alias("alon"), band.alias("i"), at(F.col("lon"), cells(band)).alias("j"))
+    a = ok.select(F.col(key).alias("a"), F.col("lat").alias("alat"), F.col("lon").alias("alon"), band.alias("i"), at(F.col("lon"), cells(band)).alias("j"), *more)
     near = F.explode(F.array(band - 1, band, band + 1))
-    b = ok.select(F.col(key).alias("b"), F.col("lat").alias("blat"), F.col("lon").alias("blon"), near.alias("i")).withColumn("n", cells(F.col("i")))
+    b = ok.select(F.col(key).alias("b"), F.col("lat").alias("blat"), F.col("lon").alias("blon"), near.alias("i"), *more).withColumn("n", cells(F.col("i")))
     own = at(F.col("blon"), F.col("n"))
     b = b.withColumn("j", F.explode(F.array_distinct(F.array(*[F.pmod(own + k, F.col("n")) for k in (-1, 0, 1)]))))
-    pairs = a.join(b, ["i", "j"]).where("a <> b").withColumn("km", haversine_km(F.col("alat"), F.col("alon"), F.col("blat"), F.col("blon")))
-    return pairs.where(F.col("km") <= km).select("a", "b", "km", bearing_deg(F.col("alat"), F.col("alon"), F.col("blat"), F.col("blon")).alias("bearing"))
+    pairs = a.join(b, ["i", "j", *more]).where("a <> b").withColumn("km", haversine_km(F.col("alat"), F.col("alon"), F.col("blat"), F.col("blon")))
+    return pairs.where(F.col("km") <= km).select(*more, "a", "b", "km", bearing_deg(F.col("alat"), F.col("alon"), F.col("blat"), F.col("blon")).alias("bearing"))
 
 
 #: One site: a circle (``km`` set) or an area (``rings_*`` set), with its box.

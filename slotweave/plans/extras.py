@@ -189,21 +189,6 @@ def distance_to_border(spark: SparkSession, base: str) -> DataFrame:
     return j.groupBy("point_id", "region").agg(F.round(F.min(km), 6).alias("km"))
 
 
-@query()
-def logistic_skill(spark: SparkSession, base: str) -> DataFrame:
-    """A penalised logistic model of the outcome on probability, lead and season, fitted on even days and judged on odd ones."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array
-
-    v = valid(spark, base).withColumn("day", F.substring("event_time", 9, 2).cast("int"))
-    logit = F.log((F.col("p") * 0.98 + 0.01) / (1 - (F.col("p") * 0.98 + 0.01)))
-    d = VectorAssembler(inputCols=["x0", "x1", "x2"], outputCol="x").transform(v.withColumns({"x0": logit, "x1": F.col("lead_min").cast("double"), "x2": F.col("p") * F.col("p")}))
-    model = LogisticRegression(featuresCol="x", labelCol="y", weightCol="w", regParam=1e-4, elasticNetParam=0.0, standardization=True).fit(d.where("day % 2 = 0"))
-    s = model.transform(d.where("day % 2 = 1")).withColumn("q", F.get(vector_to_array("probability"), F.lit(1)))
-    return r6(s.groupBy("lead_min").agg(F.count(F.lit(1)).alias("n"), V.brier(F.col("w"), F.col("p"), F.col("y")).alias("brier_raw"), V.brier(F.col("w"), F.col("q"), F.col("y")).alias("brier_model")), "brier_raw", "brier_model")
-
-
 @query()
 def quality_document(spark: SparkSession, base: str) -> DataFrame:
     """The report as one nested document per lead: curve, parts of the score and ranking, as JSON."""
