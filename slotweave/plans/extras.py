@@ -14,6 +14,7 @@ from slotweave.operators import verification as V
 from slotweave.plans.gauges import _ONSETS, _SLOTS, _WARN, present, slots, warnings
 from slotweave.plans.grids import _C, cells
 from slotweave.plans.problems import corpus_points, sites
+from slotweave.plans.problems_sql import _EDGES, _INSIDE, _POINTS
 from slotweave.plans.reports import _V, r6, valid
 from slotweave.runtime import table
 
@@ -78,7 +79,12 @@ def spline_features(spark: SparkSession, base: str) -> DataFrame:
     return warnings(spark, base).where("eta_min is not null").select("warning_id", *[(F.round(c, 4) + 0.0).alias(f"s{i}") for i, c in enumerate(s)])
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {_WARN}, v AS (SELECT warning_id, sid, t_us, eta_min AS x FROM w WHERE eta_min IS NOT NULL AND NOT isnan(eta_min)), d AS (SELECT *, CASE WHEN t_us - lag(t_us) OVER (PARTITION BY sid ORDER BY t_us) > 7200000000 THEN 1 ELSE 0 END AS nw FROM v),
+b AS (SELECT *, sum(nw) OVER (PARTITION BY sid ORDER BY t_us RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM d), o AS (SELECT *, row_number() OVER (PARTITION BY sid, run ORDER BY t_us, warning_id) AS k FROM b),
+r AS (SELECT sid, run, k, t_us, warning_id, x AS s FROM o WHERE k = 1 UNION ALL SELECT o.sid, o.run, o.k, o.t_us, o.warning_id, r.s + (1 - pow(0.5, (o.t_us - r.t_us) / 1.8e9)) * (o.x - r.s) FROM r JOIN o ON o.sid = r.sid AND o.run = r.run AND o.k = r.k + 1)
+SELECT warning_id, round(s, 6) AS smooth FROM r"""
+)
 def smoothed_eta(spark: SparkSession, base: str) -> DataFrame:
     """Announced times smoothed per station, started anew after two hours."""
     s = X.smoothed(warnings(spark, base), key="station_id", us="t_us", row_id="warning_id", value="eta_min", half_min=30.0, reset_min=120)
@@ -172,7 +178,11 @@ def symmetric_difference(spark: SparkSession, base: str) -> DataFrame:
     return side(a.subtract(b), "unlisted").unionByName(side(b.subtract(a), "silent"))
 
 
-@query()
+@query(
+    f"""WITH {_POINTS}, {_EDGES}, {_INSIDE}, k AS (SELECT io.point_id, io.region, (io.lon - ax) * cos(radians(io.lat)) AS px, io.lat - ay AS py, (bx - ax) * cos(radians(io.lat)) AS dx, by_ - ay AS dy FROM io JOIN ed USING (region)),
+t AS (SELECT *, greatest(0.0, least(1.0, coalesce((px * dx + py * dy) / nullif(dx * dx + dy * dy, 0), 0))) AS t FROM k)
+SELECT point_id, region, round(min(sqrt(pow(px - t * dx, 2) + pow(py - t * dy, 2)) * 111.195), 6) AS km FROM t GROUP BY 1, 2"""
+)
 def distance_to_border(spark: SparkSession, base: str) -> DataFrame:
     """For each corpus point its region and the distance to the region's outline: points meet the edges of their own region only."""
     inside = spatial.match_sites(corpus_points(spark, base), sites(spark, base).where("kind = 'region'")).select("point_id", F.col("found_id").alias("region"))
@@ -189,11 +199,17 @@ def distance_to_border(spark: SparkSession, base: str) -> DataFrame:
     return j.groupBy("point_id", "region").agg(F.round(F.min(km), 6).alias("km"))
 
 
-@query()
+@query(
+    f"""WITH {_V}, bs AS (SELECT lead_min, bin, count(*) AS n, sum(w) AS sw, sum(w * p) / sum(w) AS mp, sum(w * y) / sum(w) AS my FROM b GROUP BY 1, 2), ls AS (SELECT lead_min, count(*) AS n, sum(w * y) / sum(w) AS base, sum(w * (p - y) * (p - y)) / sum(w) AS brier FROM b GROUP BY 1)
+SELECT lead_min, ls.n AS n, round(base, 6) AS base_rate, round(brier, 6) AS brier, CAST(count(*) AS INTEGER) AS n_bins, max(bs.n) AS fullest, round(max(my), 6) AS top_freq, true AS valid FROM ls JOIN bs USING (lead_min) GROUP BY 1, 2, 3, 4"""
+)
 def quality_document(spark: SparkSession, base: str) -> DataFrame:
-    """The report as one nested document per lead: curve, parts of the score and ranking, as JSON."""
+    """The report as one nested JSON document per lead (curve, parts of the score, ranking), read back by its schema and checked."""
     v = valid(spark, base)
-    curve = V.reliability(v, ["lead_min"]).groupBy("lead_min").agg(F.sort_array(F.collect_list(F.struct("bin", "n", F.round("mean_p", 6).alias("mean_p"), F.round("freq", 6).alias("freq")))).alias("curve"))
+    curve = V.reliability(v, ["lead_min"]).groupBy("lead_min").agg(F.sort_array(F.collect_list(F.struct("bin", "n", F.round("mean_p", 6).alias("mean_p"), F.round("freq", 6).alias("freq")))).alias("curve"))  # ten bins at most
     j = curve.join(V.murphy(v, ["lead_min"]), "lead_min").join(V.ranking(v, ["lead_min"]), "lead_min")
     doc = F.struct("lead_min", "n", F.struct(*[F.round(c, 6).alias(c) for c in ("base_rate", "brier", "reliability", "resolution", "uncertainty", "bss")]).alias("scores"), F.struct(*[F.round(c, 6).alias(c) for c in ("roc_auc", "pr_auc", "best_f1")]).alias("ranking"), "curve")
-    return j.select("lead_min", F.to_json(doc).alias("document"))
+    text = j.select("lead_min", F.to_json(doc).alias("document"))
+    d = text.select("lead_min", F.from_json("document", "n long, scores struct<base_rate: double, brier: double>, ranking struct<roc_auc: double, pr_auc: double>, curve array<struct<bin: int, n: long, mean_p: double, freq: double>>").alias("d"))
+    whole = F.aggregate("d.curve", F.lit(0).cast("long"), lambda a, x: a + x["n"]) == F.col("d.n")
+    return d.select("lead_min", "d.n", "d.scores.base_rate", "d.scores.brier", F.size("d.curve").alias("n_bins"), F.array_max("d.curve.n").alias("fullest"), F.array_max("d.curve.freq").alias("top_freq"), (whole & (F.col("d.ranking.roc_auc").isNull() | F.col("d.ranking.roc_auc").between(0, 1))).alias("valid"))

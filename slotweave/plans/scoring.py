@@ -270,7 +270,17 @@ def isotonic_unweighted(spark: SparkSession, base: str) -> DataFrame:
     return r6(calibration.isotonic(valid(spark, base), ["lead_min"], weighted=False), "fitted", "sum_w")
 
 
-@query()
+@query(
+    f"""WITH {_V}, x AS (SELECT lead_min, substr(event_time, 1, 10) AS fold, p, y, w FROM b), k AS (SELECT DISTINCT lead_min, fold FROM x),
+d AS (SELECT k.lead_min, k.fold, x.p, sum(w) AS u, sum(w * y) / sum(w) AS m FROM k JOIN x ON x.lead_min = k.lead_min AND x.fold <> k.fold GROUP BY 1, 2, 3),
+c AS (SELECT *, row_number() OVER g AS i, sum(u) OVER g AS cu, sum(u * m) OVER g AS cm FROM d WINDOW g AS (PARTITION BY lead_min, fold ORDER BY p)),
+az AS (SELECT a.lead_min, a.fold, a.i AS a, z.i AS z, (z.cm - a.cm + a.u * a.m) / (z.cu - a.cu + a.u) AS v FROM c a JOIN c z ON a.lead_min = z.lead_min AND a.fold = z.fold AND z.i >= a.i),
+mn AS (SELECT lead_min, fold, a, z AS i, min(v) OVER (PARTITION BY lead_min, fold, a ORDER BY z DESC) AS v FROM az), f AS (SELECT c.lead_min, c.fold, c.p, max(v) AS y FROM mn JOIN c USING (lead_min, fold, i) GROUP BY 1, 2, 3),
+q AS (SELECT DISTINCT lead_min, fold, p FROM x), lo AS (SELECT q.lead_min, q.fold, q.p, max(f.p) AS p0 FROM q JOIN f ON f.lead_min = q.lead_min AND f.fold = q.fold AND f.p <= q.p GROUP BY 1, 2, 3), hi AS (SELECT q.lead_min, q.fold, q.p, min(f.p) AS p1 FROM q JOIN f ON f.lead_min = q.lead_min AND f.fold = q.fold AND f.p >= q.p GROUP BY 1, 2, 3),
+e AS (SELECT q.lead_min, q.fold, q.p, CASE WHEN p0 IS NULL THEN b1.y WHEN p1 IS NULL OR p1 = p0 THEN b0.y ELSE b0.y + (b1.y - b0.y) * (q.p - p0) / (p1 - p0) END AS cal FROM q LEFT JOIN lo USING (lead_min, fold, p) LEFT JOIN hi USING (lead_min, fold, p)
+  LEFT JOIN f b0 ON b0.lead_min = q.lead_min AND b0.fold = q.fold AND b0.p = p0 LEFT JOIN f b1 ON b1.lead_min = q.lead_min AND b1.fold = q.fold AND b1.p = p1)
+SELECT lead_min, count(cal) AS n, round(sum(w * (p - y) * (p - y)) / sum(w), 6) AS brier_raw, round(sum(w * (cal - y) * (cal - y)) / sum(CASE WHEN cal IS NOT NULL THEN w END), 6) AS brier_oof FROM x LEFT JOIN e USING (lead_min, fold, p) GROUP BY 1"""
+)
 def out_of_fold_brier(spark: SparkSession, base: str) -> DataFrame:
     """Leave one day out: curves from the other days, scores on the day; pooled per lead."""
     v = valid(spark, base).withColumn("fold", F.substring("event_time", 1, 10))
