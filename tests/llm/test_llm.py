@@ -26,7 +26,8 @@ def test_runs(spark, name):
     df = queries.QUERIES[name](spark, BASE)
     ids = {r.doc_id for r in spark.read.parquet(f"{BASE}/documents.parquet").select("doc_id").collect()}
     got = df.collect()
-    assert got and (not {"doc_id"} <= set(df.columns) or {r.doc_id for r in got} <= ids)
+    assert got or name == "p10_found"  # twenty labels may find nothing
+    assert "doc_id" not in df.columns or {r.doc_id for r in got} <= ids
     if name in ("p8_ids", "p10_scores"):
         assert len(got) == len(ids)
 
