@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from slotweave.plans import extras, gauges, grids, problems, problems_sql, reports, scoring, streams, truth, fields, strikes, modelling, review, stores
+from slotweave.plans import extras, gauges, grids, problems, problems_sql, reports, scoring, streams, truth, fields, strikes, modelling, review, stores, archive
 
-_MODULES = (problems, reports, gauges, scoring, grids, streams, extras, truth, fields, strikes, modelling, review, stores)
+_MODULES = (problems, reports, gauges, scoring, grids, streams, extras, truth, fields, strikes, modelling, review, stores, archive)
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from slotweave.operators import models as M
-from slotweave.operators import sampling
+from slotweave.operators import harmonise, sampling
 
 
 def newton(x, y, w, l2):
@@ -97,3 +97,17 @@ def test_binned_curve_of_few_and_equal_values(spark):
     d = spark.createDataFrame([("a", 0.5, 1.0)] * 3 + [("a", 0.5, 0.0)] + [("b", None, 1.0), ("b", 0.1, None)], "g string, p double, y double")
     got = {r.g: (r.xs, r.ys) for r in M.binned_curves(d, ["g"], bins=4).collect()}
     assert got == {"a": ([0.5], [0.75])}
+
+
+def test_quantile_maps_keep_the_share_above(spark):
+    rng = np.random.default_rng(5)
+    a, b = rng.gamma(1.5, 2.0, 4000), rng.gamma(2.5, 1.0, 4000)
+    df = spark.createDataFrame([("s", float(x), float(y)) for x, y in zip(a, b)] + [("s", None, float("nan")), (None, 1.0, 2.0)], "g string, a double, b double")
+    h = harmonise.histogram(df, ["g"], ["a", "b"], 0.0, 0.25, 60)
+    assert h.where("g = 's'").agg(F.sum("a"), F.sum("b")).first()[:] == (4000, 4000)
+    m = {r.g: (np.array(r.xs), np.array(r.ys)) for r in harmonise.fit_maps(h, ["g"], "a", "b", 0.0, 0.25, 60).collect()}
+    xs, ys = m["s"]
+    moved = np.interp(a, xs, ys)
+    assert (np.diff(ys) >= 0).all() and all(abs((moved >= t).mean() - (b >= t).mean()) < 0.02 for t in (0.5, 1.0, 2.0, 4.0))
+    assert np.array_equal(m[None][0], m[None][1])  # too few: nothing is changed
+    assert harmonise.fit_maps(h.where("false"), ["g"], "a", "b", 0.0, 0.25, 60).count() == 0

@@ -9,6 +9,7 @@ from tests.helpers import BASE, database, rows
 HELD = {
     "logistic_skill": "test_models.py::test_logistic_equals_numpy",
     "forest_scores": "test_models.py::test_trees_equal_plain_recursion",
+    "harmonised_values": "test_models.py::test_quantile_maps_keep_the_share_above",
     "p3_found": "test_problems.py::test_spikes_are_told_from_shifts_and_fades",
     "p3_flags": "test_problems.py::test_a_source_is_fitted_over_all_its_blocks",
     "p5_series": "test_problems.py::test_fill_error_on_hidden_readings",
@@ -39,6 +40,8 @@ def test_held_queries_give_whole_tables(spark):
     warned = spark.read.parquet(f"{BASE}/warnings_scored.parquet").where("station_id is not null and warned_at_utc is not null").count()
     f = q["forest_scores"].collect()
     assert len(f) == warned and all(0 < r.probability < 1 for r in f)
+    h = q["harmonised_values"].collect()
+    assert h and all(r.n > 0 for r in h)
     skill = q["logistic_skill"].collect()
     assert skill and all(r.brier_model < r.brier_raw * 1.3 for r in skill)
     s = q["p5_series"].groupBy("station_id").count().collect()
