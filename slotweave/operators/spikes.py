@@ -76,9 +76,10 @@ def longest_runs(us: np.ndarray, v: np.ndarray, gap_us: float) -> np.ndarray:
     else:  # per instant the value that continues a neighbour's run, if there is one
         at = np.cumsum(first) - 1
         starts = np.flatnonzero(first)
-        joined = v[np.r_[starts[1:], n] - 1].copy()
-        for k in np.flatnonzero(np.diff(np.r_[starts, n]) > 1):
-            own = v[starts[k] : starts[k] + np.count_nonzero(at == k)]
+        ends = np.r_[starts[1:], n]
+        joined = v[ends - 1].copy()
+        for k in np.flatnonzero(ends - starts > 1):
+            own = v[starts[k] : ends[k]]
             near = [joined[k - 1]] if k else []
             if k + 1 < len(starts):
                 near.append(v[starts[k + 1]])
