@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from slotweave.functions import geo
 from slotweave.functions.text import station_number
 from slotweave.functions.timeexpr import MICROS, micros, slot_end_us
 from slotweave.operators import gauge as G

@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from slotweave.functions import geo, rain
+from slotweave.functions import rain
 from slotweave.functions.timeexpr import MICROS, convective_season, micros, rounded_slot_sec, slot_end_us
 from slotweave.operators import ensemble as E
 from slotweave.operators import verification as V
-from slotweave.plans.gauges import _HAV, _ST, _WARN, present, warnings
+from slotweave.plans.gauges import _ST, _WARN, present, warnings
 from slotweave.plans.reports import r6
 from slotweave.runtime import table
 from slotweave.sources import geojson, store

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slotweave.functions.timeexpr import MICROS, floor_us, instant, iso_utc, iso_utc_us
+from slotweave.functions.timeexpr import iso_utc, iso_utc_us
 from slotweave.operators import history, late_panes, regular_grid, spatial, spikes
 from slotweave.runtime import table
 

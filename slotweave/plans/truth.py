@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slotweave.functions.timeexpr import MICROS, convective_season, micros, slot_end_us
+from slotweave.functions.timeexpr import MICROS, convective_season, slot_end_us
 from slotweave.operators import gauge as G
 from slotweave.operators import spatial
 from slotweave.operators import verification as V
@@ -13,7 +13,6 @@ from slotweave.plans.gauges import _ONSETS, _SLOTS, _WARN, slots, warnings
 from slotweave.plans.problems import corpus_points, sites
 from slotweave.plans.problems_sql import _KM, _POINTS, _STATIONS
 from slotweave.plans.reports import corpus, r6
-from slotweave.runtime import table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
