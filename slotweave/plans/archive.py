@@ -49,7 +49,7 @@ def parsed_stations(spark: SparkSession, base: str) -> DataFrame:
     return p.select("station_id", "reason", "name", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"), micros("operation_from").alias("from_us"), F.coalesce(F.size("parameter_ids"), F.lit(-1)).alias("n_parameters"))
 
 
-_NAMES = "nm AS (SELECT DISTINCT 'dk.com.' || strftime(CAST(CAST(event_time AS TIMESTAMPTZ) AT TIME ZONE 'UTC' AS TIMESTAMP), '%Y%m%d%H%M') || '.500_max.h5' AS name FROM calibration_corpus), fl AS (SELECT name, epoch_us(strptime(regexp_extract(name, '(\\d{12})', 1), '%Y%m%d%H%M')) AS us FROM nm)"
+_NAMES = "nm AS (SELECT DISTINCT 'frame.' || strftime(CAST(CAST(event_time AS TIMESTAMPTZ) AT TIME ZONE 'UTC' AS TIMESTAMP), '%Y%m%d%H%M') || '.h5' AS name FROM calibration_corpus), fl AS (SELECT name, epoch_us(strptime(regexp_extract(name, '(\\d{12})', 1), '%Y%m%d%H%M')) AS us FROM nm)"
 
 
 @query(
@@ -59,7 +59,7 @@ SELECT g.us // 86400000000 AS day, count(*) AS expected, count(fl.us) AS found,
 def archive_frames(spark: SparkSession, base: str) -> DataFrame:
     """Frames listed by file name (stamp and kind from the name) against the grid of expected ones, by day."""
     t = F.to_timestamp("event_time")
-    names = corpus(spark, base).select(F.concat(F.lit("dk.com."), F.date_format(F.to_utc_timestamp(t, F.current_timezone()), "yyyyMMddHHmm"), F.lit(".500_max.h5")).alias("name")).distinct()
+    names = corpus(spark, base).select(F.concat(F.lit("frame."), F.date_format(F.to_utc_timestamp(t, F.current_timezone()), "yyyyMMddHHmm"), F.lit(".h5")).alias("name")).distinct()
     stamp = F.to_timestamp(F.concat(F.regexp_extract("name", r"(\d{12})", 1), F.lit("+0000")), "yyyyMMddHHmmZ")
     f = names.select(micros(stamp).alias("us"))
     span = f.agg(B.block_of(F.min("us"), DAY_US).alias("a"), B.block_of(F.max("us"), DAY_US).alias("z"))
