@@ -372,7 +372,7 @@ def fit_sources(blocks: DataFrame, kinds: dict[str, Kind], block: int) -> DataFr
 
 
 def flag_faults(
-    df: DataFrame, *, source: tuple[str, str] = ("station_id", "parameter_id"), ts: str = "observed_utc", value: str = "value", row_id: str = "obs_id", kinds: dict[str, Kind] | None = None, block_days: int = 32, margin_hours: int = 5 * 24
+    df: DataFrame, *, source: tuple[str, str] = ("station_id", "parameter_id"), ts: str = "observed_utc", value: str = "value", row_id: str = "obs_id", kinds: dict[str, Kind] | None = None, block_days: int = 64, margin_hours: int = 5 * 24
 ) -> DataFrame:
     """Faulty rows as ``row_id, reason`` (``impossible``, ``stuck`` or ``spike``), one row each.
 

@@ -165,12 +165,12 @@ def test_stuck_runs_and_rain_rules():
 
 
 def test_runs_hold_over_block_borders(spark):
-    v = series(3000, seed=2)
-    border = ((int(T0.timestamp()) // 86400 // 32 + 1) * 32 * 86400 - int(T0.timestamp())) // 600  # of two blocks
-    border = border if border < 2900 else 2310
+    v = series(6000, seed=2)
+    border = ((int(T0.timestamp()) // 86400 // 64 + 1) * 64 * 86400 - int(T0.timestamp())) // 600  # of two blocks
+    assert border < 9000
     v[border - 20 : border + 20] = 9.9
     data = [(i, "s", T0 + dt.timedelta(minutes=10 * i), "temp_dry", float(np.round(x, 1)), None, "", "", 0, 0, "") for i, x in enumerate(v)]
-    data += [(9001, None, T0, "temp_dry", 5.0, None, "", "", 0, 0, ""), (9002, "s", None, "temp_dry", 5.0, None, "", "", 0, 0, ""), (9003, "s", T0, "temp_dry", None, None, "", "", 0, 0, ""), (9004, "s", T0, "temp_dry", float("nan"), None, "", "", 0, 0, "")]
+    data += [(90001, None, T0, "temp_dry", 5.0, None, "", "", 0, 0, ""), (90002, "s", None, "temp_dry", 5.0, None, "", "", 0, 0, ""), (90003, "s", T0, "temp_dry", None, None, "", "", 0, 0, ""), (90004, "s", T0, "temp_dry", float("nan"), None, "", "", 0, 0, "")]
     got = {r.obs_id for r in spikes.flag_faults(spark.createDataFrame(data, OBS)).where("reason = 'stuck'").collect()}
     assert got == set(range(border - 20, border + 20))
     assert spikes.flag_faults(spark.createDataFrame([], OBS)).count() == 0
@@ -267,7 +267,7 @@ def test_fill_error_on_hidden_readings(spark):
 
 def test_slow_sensors_are_stuck_over_block_borders(spark):
     """Thirteen equal three-hourly values, most of them beyond the border of a block."""
-    border = (int(T0.timestamp()) // 86400 // 32 + 1) * 32 * 86400 - int(T0.timestamp())
+    border = (int(T0.timestamp()) // 86400 // 64 + 1) * 64 * 86400 - int(T0.timestamp())
     v = np.round(series(400, seed=6), 1)
     first = border // 10800 - 11
     v[first : first + 13] = 7.7
