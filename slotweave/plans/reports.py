@@ -25,7 +25,8 @@ def query(sql: str | None = None):
 
 
 def r6(df: DataFrame, *cols: str) -> DataFrame:
-    return df.withColumns({c: F.round(F.col(c), 6) for c in cols})
+    """Six digits; what is half a digit but for the noise of doubles counts as half."""
+    return df.withColumns({c: F.round(F.round(F.col(c), 9), 6) for c in cols})
 
 
 def month(c: Column) -> Column:
