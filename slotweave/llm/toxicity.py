@@ -43,6 +43,8 @@ LEAST_SUM = 6.0
 KEEP_CHUNKS = 300_000
 #: Words longer than this are looked at as several written together.
 LONG = 30
+#: Letters of a word to be told from chance in encoded data, and unknown words that stand for a stretch of it at most (enough to part two passages).
+LEAST_HIDDEN, STRETCH = 4, 8
 
 #: Look-alike letters of other scripts.
 LOOKALIKE = str.maketrans(
@@ -56,6 +58,7 @@ POINTED = re.compile(r"(?<![^\W_])(?:[^\W_][.\-_*·•]){2,}[^\W_]?(?![^\W_])")
 WORD = re.compile(r"[^\W\d_]+")
 MIXED = re.compile(r"(?=[^\W_]*[013457@$])(?=[^\W_]*[^\W\d_])[\w@$]+")
 ENCODED = re.compile(r"[a-z][A-Z]|[A-Z]{2}[a-z]|[A-Z][0-9][a-zA-Z]|[a-z][0-9]+[A-Z]")
+RUN = re.compile(r"[a-z]+")
 PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 LETTERLIKE = re.compile(r"[013457@$]")
 #: Offending words of the corpus's languages, as prior evidence (normalised spelling).
@@ -75,7 +78,7 @@ def words_of(chunk: str) -> list[str]:
             return [chunk.lower()]
         if chunk.isalnum() and len(ENCODED.findall(chunk)) >= 2:
             if not chunk.translate(LEET).isalpha():
-                return []  # other digits among changing case: encoded data
+                return []  # other digits among changing case: encoded data, see ``hidden``
             parts = PART.findall(chunk)
             if chunk.isalpha() and len(chunk) >= 2.5 * len(parts):  # words joined by capitals
                 return [x.lower() for x in parts]
@@ -114,6 +117,27 @@ def parted(word: str, vocabulary: dict[str, int]) -> list[str]:
     return out[::-1] if 2 * len(set(out)) > len(out) else [word]  # one word over and over is a row of letters
 
 
+def hidden(chunk: str, vocabulary: dict[str, int]) -> list[str]:
+    """Words of the vocabulary that stand between the digits of encoded data, with unknown words (empty) for what lies between them."""
+    out: list[str] = []
+    for text in (chunk, chunk.translate(LEET)):  # digits as borders, else as letters
+        runs = RUN.findall(text.lower())
+        at = [i for i, r in enumerate(runs) if len(r) >= LEAST_HIDDEN and r in vocabulary]
+        for i, before, after in zip(at, [-1, *at], [*at[1:], len(runs)]):
+            out += [""] * min(i - before - 1, STRETCH) + [runs[i]]
+            if after == len(runs):
+                out += [""] * min(after - i - 1, STRETCH)
+        if out:
+            break
+    return out
+
+
+def words_in(chunk: str, vocabulary: dict[str, int]) -> list[str]:
+    """The words of a chunk as the vocabulary parts them; without vocabulary encoded data have none."""
+    found = words_of(chunk)
+    return [x for w in found for x in parted(w, vocabulary)] if found else hidden(chunk, vocabulary) if vocabulary else []
+
+
 #: Bytes of a chunk: letters, digits, all of UTF-8's longer characters, and signs that hide or escape letters.
 SOLID = np.zeros(256, bool)
 SOLID[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100), *b"_.@$*-\\"]] = True
@@ -133,7 +157,7 @@ class Words:
             if not HAS_LETTER.search(raw):
                 return b""
             v = self.vocabulary
-            got = b"".join([PACK(v.get(x, 0)) for w in words_of(raw.decode("utf-8", "replace")) for x in parted(w, v)])
+            got = b"".join([PACK(v.get(x, 0)) for x in words_in(raw.decode("utf-8", "replace"), v)])
             if len(self.known) >= KEEP_CHUNKS:
                 self.known.clear()
             if len(raw) <= 40:
@@ -309,7 +333,7 @@ CHUNK_TEXT = re.compile(r"[0-9A-Za-z_.@$*\\\-\u0080-\U0010ffff]+")
 def doc_features(texts: list[str | None], spans: list[list[tuple[int, int]]] | None = None, vocabulary: dict[str, int] | None = None) -> Iterator[tuple[int, str, str | None]]:
     """(text, word, next word or None): the distinct words and pairs of each text, or of the given spans of its words (as the vocabulary parts them)."""
     for k, t in enumerate(texts):
-        seq = [x for c in CHUNK_TEXT.findall(t or "") for w in words_of(c) for x in parted(w, vocabulary or {})]
+        seq = [x for c in CHUNK_TEXT.findall(t or "") for x in words_in(c, vocabulary or {})]
         parts = [seq] if spans is None else [seq[a:b] for a, b in spans[k]]
         for w in {w for p in parts for w in p}:
             yield k, w, None

@@ -222,3 +222,16 @@ def test_two_words_and_joined_spellings_count(spark):
     assert {r.doc_id for r in toxicity.score(d, model, keep=["doc_id"]).where("flagged").collect()} == {0, 1, 2}
     n, ids = toxicity.Words(model.vocabulary).sequences(pa.array([long]))
     assert sum(b is None for _, _, b in toxicity.doc_features([long], [[(2, 4)]], model.vocabulary)) == 2 and n.tolist() == [8]
+
+
+def test_known_words_are_found_in_encoded_data():
+    v = {"fuck": 1, "idiot": 2, "moron": 3}
+    assert toxicity.words_in("fUcK9yOu2iDiOt", v) == ["fuck", "", "idiot"]
+    assert toxicity.words_in("xX9zQ2IdIoT7qW8eR6tY", v) == ["", "", "idiot", "", "", ""]
+    assert toxicity.words_in("m0RoN2xY", v) == ["moron", ""]
+    far = toxicity.words_in("fUcK2" + "aB9" * 50 + "iDiOt", v)  # what lies between two finds keeps them apart
+    assert far == ["fuck", *[""] * toxicity.STRETCH, "idiot"]
+    assert toxicity.words_in("aGVsbG8gd29ybGQhIQ82K", v) == [] and toxicity.words_in("fUcK9yOu2iDiOt", {}) == []
+    w = toxicity.Words(v)
+    n, ids = w.sequences(pa.array(["see fUcK9yOu2iDiOt", None, ""]))
+    assert n.tolist() == [4, 0, 0] and ids.tolist() == [0, 1, 0, 2]
