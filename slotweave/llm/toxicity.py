@@ -58,7 +58,6 @@ POINTED = re.compile(r"(?<![^\W_])(?:[^\W_][.\-_*·•]){2,}[^\W_]?(?![^\W_])")
 WORD = re.compile(r"[^\W\d_]+")
 MIXED = re.compile(r"(?=[^\W_]*[013457@$])(?=[^\W_]*[^\W\d_])[\w@$]+")
 ENCODED = re.compile(r"[a-z][A-Z]|[A-Z]{2}[a-z]|[A-Z][0-9][a-zA-Z]|[a-z][0-9]+[A-Z]")
-RUN = re.compile(r"[a-z]+")
 PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 LETTERLIKE = re.compile(r"[013457@$]")
 #: Offending words of the corpus's languages, as prior evidence (normalised spelling).
@@ -76,7 +75,7 @@ def words_of(chunk: str) -> list[str]:
     if chunk.isascii():
         if chunk.isalpha() and (chunk.islower() or chunk.isupper() or chunk.istitle()):
             return [chunk.lower()]
-        if chunk.isalnum() and len(ENCODED.findall(chunk)) >= 2:
+        if chunk.isalnum() and (turn := ENCODED.search(chunk)) and ENCODED.search(chunk, turn.end()):
             if not chunk.translate(LEET).isalpha():
                 return []  # other digits among changing case: encoded data, see ``hidden``
             parts = PART.findall(chunk)
@@ -117,11 +116,16 @@ def parted(word: str, vocabulary: dict[str, int]) -> list[str]:
     return out[::-1] if 2 * len(set(out)) > len(out) else [word]  # one word over and over is a row of letters
 
 
+#: Bytes to lower-case letters, the others to blanks; with and without digits for letters.
+LETTERS = bytes(ord(chr(i).lower()) if chr(i).isalpha() and i < 128 else 32 for i in range(256))
+LETTERS_LEET = bytes(LETTERS[LEET.get(i, i)] if i < 128 else 32 for i in range(256))
+
+
 def hidden(chunk: str, vocabulary: dict[str, int]) -> list[str]:
     """Words of the vocabulary that stand between the digits of encoded data, with unknown words (empty) for what lies between them."""
-    out: list[str] = []
-    for text in (chunk, chunk.translate(LEET)):  # digits as borders, else as letters
-        runs = RUN.findall(text.lower())
+    raw, out = chunk.encode("ascii", "replace"), []
+    for letters in (LETTERS, LETTERS_LEET):  # digits as borders, else as letters
+        runs = raw.translate(letters).decode().split()
         at = [i for i, r in enumerate(runs) if len(r) >= LEAST_HIDDEN and r in vocabulary]
         for i, before, after in zip(at, [-1, *at], [*at[1:], len(runs)]):
             out += [""] * min(i - before - 1, STRETCH) + [runs[i]]
