@@ -167,17 +167,24 @@ c AS (SELECT lead_min, bin, sum(w * y) / sum(w) AS q FROM x WHERE train GROUP BY
 )
 def calibration_holdout(spark: SparkSession, base: str) -> DataFrame:
     """Calibrated on the first two thirds of the events in time, scored on the rest."""
-    v = valid(spark, base).withColumn("bin", V.bin_of(F.col("p")))
-    e = v.select("event_time").distinct().withColumn("g", F.lit(1))
-    # events in order of time: numbered day by day, with the days before carried
-    day = B.block_of(F.unix_micros(F.to_timestamp("event_time")), DAY_US)
-    e = B.running_sums(e, ["g"], [F.col("event_time")], day, {"k": F.lit(1)})
-    n = e.agg(F.count(F.lit(1)).alias("n"))  # one row
-    x = v.join(e.join(F.broadcast(n)).select("event_time", (F.col("k") <= F.floor(F.col("n") * 0.66)).alias("train")), "event_time")
-    w, p, y = F.col("w"), F.col("p"), F.col("y")
-    c = x.where("train").groupBy("lead_min", "bin").agg((F.sum(w * y) / F.sum(w)).alias("q"))
-    t = x.where("not train").join(c, ["lead_min", "bin"], "left").withColumn("q", F.coalesce("q", "p"))
-    return r6(t.groupBy("lead_min").agg(F.count(F.lit(1)).alias("n"), V.brier(w, p, y).alias("brier_raw"), V.brier(w, F.col("q"), y).alias("brier_calibrated")), "brier_raw", "brier_calibrated")
+    return holdout(valid(spark, base))
+
+
+def holdout(v: DataFrame) -> DataFrame:
+    """``v``: ``event_time, lead_min, p, y, w``. Read once, as sums per event, lead and bin; events are in order of their text, one without time counts among them but is in neither part."""
+    w, p, y, q = F.col("w"), F.col("p"), F.col("y"), F.col("q")
+    g = v.groupBy("event_time", "lead_min", V.bin_of(p).alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.sum(w).alias("w"), F.sum(w * y).alias("wy"), F.sum(w * y * y).alias("wyy"), F.sum(w * F.pow(p - y, 2)).alias("raw"))
+    g = cut(g)
+    events = g.select("event_time").distinct()
+    # numbered day by day, with the days before carried
+    e = B.running_sums(events.where("event_time is not null").withColumn("g", F.lit(1)), ["g"], [F.col("event_time")], F.substring("event_time", 1, 10), {"k": F.lit(1)})
+    n = events.agg(F.count(F.lit(1)).alias("n_events"))  # one row
+    last = e.join(F.broadcast(n)).where(F.col("k") <= F.floor(F.col("n_events") * 0.66)).agg(F.max("event_time").alias("last"))  # one row
+    x = g.where("event_time is not null").join(F.broadcast(last)).withColumn("train", F.coalesce(F.col("event_time") <= F.col("last"), F.lit(False)))
+    c = x.where("train").groupBy("lead_min", "bin").agg((F.sum("wy") / F.sum("w")).alias("q"))
+    t = x.where("not train").join(F.broadcast(c), ["lead_min", "bin"], "left")  # ten rows a lead
+    off = F.when(q.isNull(), F.col("raw")).otherwise(q * q * w - 2 * q * F.col("wy") + F.col("wyy"))
+    return r6(t.groupBy("lead_min").agg(F.sum("n").alias("n"), V.ratio(F.sum("raw"), F.sum(w)).alias("brier_raw"), V.ratio(F.sum(off), F.sum(w)).alias("brier_calibrated")), "brier_raw", "brier_calibrated")
 
 
 _CAL = lambda t, g: f"(SELECT CASE WHEN sv.p < x OR x1 IS NULL THEN y ELSE y + (y1 - y) * (sv.p - x) / (x1 - x) END FROM {t} t WHERE t.g = sv.{g} AND (t.x <= sv.p OR t.k = 1) ORDER BY t.x DESC LIMIT 1)"
