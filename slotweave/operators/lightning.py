@@ -93,17 +93,32 @@ def outlook(cells_: DataFrame, rings: Sequence[float]) -> DataFrame:
     Most threatening is the soonest to reach the smallest ring (inside: 0; not closing: never), then the nearest. Over all cells each ring takes the soonest arrival, the state
     is inside, approaching, stalled or receding, whichever comes first.
     """
+    one = F.collect_list(F.struct("cell", "edge_km", "closing_kmh", "confidence"))
+    return outlook_of(cells_.groupBy("target", "at_us").agg(F.max("n_strikes").alias("n_strikes"), one.alias("cells")), rings)
+
+
+def judged(seen: DataFrame, rings: Sequence[float]) -> DataFrame:
+    """Adds to rows with ``cells`` the most threatening one ``b``, the ``rank`` of the whole and the soonest arrivals ``any_eta_*``; null without cells. No shuffle."""
     rings = sorted(rings)
-    e, c = F.col("edge_km"), F.col("closing_kmh")
-    s = state_of(e, c, rings[0])
-    x = cells_.withColumn("state", s)
-    threat = F.when(e <= rings[0], 0.0).when(c < CLOSING_KMH, F.lit(float("inf"))).otherwise((e - rings[0]) / (c / 60))
-    etas = {f"eta_{r:g}": ring_eta(e, c, F.col("state"), r) for r in rings}
-    x = x.withColumns(etas | {"threat": threat, "rank": F.when(s == "inside", 0).when(s == "approaching", 1).when(s == "stalled", 2).otherwise(3)})
-    best = F.min(F.struct("threat", "edge_km", "cell", "state", "closing_kmh", "confidence", *etas))
-    g = x.groupBy("target", "at_us").agg(F.max("n_strikes").alias("n_strikes"), F.count(F.lit(1)).alias("n_cells"), best.alias("b"), F.min("rank").alias("rank"), *[F.min(k).alias(f"any_{k}") for k in etas])
+    etas = [f"eta_{r:g}" for r in rings]
+
+    def one(x: Column) -> Column:
+        e, c = x["edge_km"], x["closing_kmh"]
+        s = state_of(e, c, rings[0])
+        threat = F.when(e <= rings[0], 0.0).when(c < CLOSING_KMH, F.lit(float("inf"))).otherwise((e - rings[0]) / (c / 60))
+        rank = F.when(s == "inside", 0).when(s == "approaching", 1).when(s == "stalled", 2).otherwise(3)
+        return F.struct(threat.alias("threat"), e.alias("edge_km"), x["cell"].alias("cell"), s.alias("state"), c.alias("closing_kmh"), x["confidence"].alias("confidence"), rank.alias("rank"), *[ring_eta(e, c, s, r).alias(k) for k, r in zip(etas, rings)])
+
+    least = lambda k: F.array_min(F.transform("__j", lambda x: x[k]))
+    return seen.withColumn("__j", F.transform("cells", one)).withColumns({"b": F.array_min("__j"), "rank": least("rank")} | {f"any_{k}": least(k) for k in etas}).drop("__j")
+
+
+def outlook_of(seen: DataFrame, rings: Sequence[float]) -> DataFrame:
+    """``outlook`` of rows ``target, at_us, n_strikes, cells``, one per target and instant."""
+    etas = [f"eta_{r:g}" for r in sorted(rings)]
+    g = judged(seen.where(F.size("cells") > 0), rings)
     whole = F.get(F.array(*[F.lit(n) for n in ("inside", "approaching", "stalled", "receding")]), F.col("rank"))
-    return g.select("target", "at_us", "n_strikes", "n_cells", "b.cell", "b.state", "b.edge_km", "b.closing_kmh", "b.confidence", *[f"b.{k}" for k in etas], whole.alias("any_state"), *[f"any_{k}" for k in etas])
+    return g.select("target", "at_us", "n_strikes", F.size("cells").cast("long").alias("n_cells"), "b.cell", "b.state", "b.edge_km", "b.closing_kmh", "b.confidence", *[f"b.{k}" for k in etas], whole.alias("any_state"), *[f"any_{k}" for k in etas])
 
 
 def entry_min(e: Column, n: Column, ve: Column, vn: Column, ring_km: float) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from slotweave.functions import geo
 from slotweave.functions.timeexpr import DAY_US, MICROS, instant
 from slotweave.operators import lightning as L
+from slotweave.operators import tracking
 from slotweave.operators import verification as V
 from slotweave.plans.gauges import _ST, _WARN, present, warnings
 from slotweave.plans.fields import _BOX
@@ -52,6 +53,12 @@ mo AS (SELECT target, at_us, cell, n_strikes, size, clat, clon, spread_km, -last
   least(1.0, size::DOUBLE / 12) * 0.4::DOUBLE + least(1.0, span / 10.0) * 0.3::DOUBLE + 0.3::DOUBLE / (1 + coalesce(resid, 0) / 3.0) AS confidence FROM o1 JOIN o2 USING (target, at_us, cell))"""
 
 
+def seen(spark: SparkSession, base: str, few: bool = False) -> DataFrame:
+    """What every station sees at every hour."""
+    targets = present(spark, base).withColumnRenamed("station_id", "target")
+    return tracking.seen(strikes(spark, base), targets, stride_min=STRIDE, buffer_min=STRIDE, least=LEAST, few=few)
+
+
 def members(spark: SparkSession, base: str) -> DataFrame:
     targets = present(spark, base).withColumnRenamed("station_id", "target")
     return L.cells(L.around(strikes(spark, base), targets, stride_min=STRIDE, buffer_min=STRIDE, least=LEAST))
@@ -92,15 +99,17 @@ SELECT region, ring, count(*) FILTER (fire AND truth) AS hits, count(*) FILTER (
 )
 def strike_backtest(spark: SparkSession, base: str) -> DataFrame:
     """Announced arrivals within the hour against strikes inside the ring in the hour, per region and ring."""
-    near = L.around(strikes(spark, base), present(spark, base).withColumnRenamed("station_id", "target"), stride_min=STRIDE, buffer_min=STRIDE, least=1)
-    near = cut(near)
-    o = L.outlook(L.motion(L.cells(near.where(F.col("n_strikes") >= LEAST))), RINGS)
-    ring = F.explode(F.array(*[F.struct(F.lit(int(r)).alias("ring"), F.coalesce(F.col(f"any_eta_{r:g}") <= 60, F.lit(False)).alias("fire")) for r in RINGS]))
-    f = o.select("target", "at_us", ring.alias("x")).select("target", "at_us", "x.*")
-    inside = F.explode(F.filter(F.array(*[F.struct(F.lit(int(r)).alias("ring"), (F.col("km") <= r).alias("in")) for r in RINGS]), lambda x: x["in"]))
-    hit = near.select("target", (F.col("at_us") - F.lit(STRIDE * 60 * MICROS)).alias("at_us"), inside.alias("x")).select("target", "at_us", "x.ring").distinct().withColumn("truth", F.lit(True))
+    o = L.judged(seen(spark, base, few=True), RINGS)
+    # what is announced at an instant and what came true of the instant before meet in one row
+    said = F.struct(F.col("at_us"), (F.size("cells") > 0).alias("said"), *[F.coalesce(F.col(f"any_eta_{r:g}") <= 60, F.lit(False)).alias(f"fire_{r:g}") for r in RINGS], *[F.lit(False).alias(f"hit_{r:g}") for r in RINGS])
+    came = F.struct((F.col("at_us") - F.lit(STRIDE * 60 * MICROS)).alias("at_us"), F.lit(False).alias("said"), *[F.lit(False).alias(f"fire_{r:g}") for r in RINGS], *[(F.col("near_km") <= r).alias(f"hit_{r:g}") for r in RINGS])
+    x = o.select("target", F.explode(F.array(said, came)).alias("x")).select("target", "x.*")
+    flags = [c for c in x.columns if c not in ("target", "at_us")]
+    x = x.where(" or ".join(["said", *[c for c in flags if c.startswith("hit")]])).groupBy("target", "at_us").agg(*[F.max(c).alias(c) for c in flags]).where("said")
+    ring = F.explode(F.array(*[F.struct(F.lit(int(r)).alias("ring"), F.col(f"fire_{r:g}").alias("fire"), F.col(f"hit_{r:g}").alias("truth")) for r in RINGS]))
+    f = x.select("target", ring.alias("x")).select("target", "x.*")
     st = present(spark, base).select(F.col("station_id").alias("target"), geo.region_box(F.col("lat"), F.col("lon")).alias("region"))
-    j = f.join(hit, ["target", "at_us", "ring"], "left").withColumn("truth", F.coalesce("truth", F.lit(False))).join(st, "target")
+    j = f.join(st, "target")
     return j.groupBy("region", "ring").agg(*V.contingency(F.col("fire"), F.col("truth")))
 
 
