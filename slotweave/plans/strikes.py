@@ -120,11 +120,8 @@ SELECT target, at_us, round(min(CASE WHEN c <= 0 THEN 0 WHEN (-b - s) / (2 * a)
 )
 def strike_entry(spark: SparkSession, base: str) -> DataFrame:
     """When the first strike, carried on with its cell's motion, enters the ten-kilometre ring."""
-    m = cut(members(spark, base))
-    v = L.motion(m).select("target", "at_us", "cell", "ve", "vn")
-    east, north = geo.local_km(F.col("lat"), F.col("lon"), F.col("tlat"), F.col("tlon"))
-    j = m.join(v, ["target", "at_us", "cell"])
-    return j.groupBy("target", "at_us").agg((F.round(F.min(L.entry_min(east, north, F.col("ve"), F.col("vn"), 10.0)), 3) + 0.0).alias("entry_10"))
+    first = F.array_min(F.transform("cells", lambda x: x["entry_min"]))
+    return seen(spark, base).select("target", "at_us", (F.round(first, 3) + 0.0).alias("entry_10"))
 
 
 @query(
