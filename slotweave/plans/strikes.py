@@ -70,9 +70,9 @@ def members(spark: SparkSession, base: str) -> DataFrame:
 )
 def strike_cells(spark: SparkSession, base: str) -> DataFrame:
     """Cells of strikes around every station at every hour with their motion."""
-    m = L.motion(members(spark, base))
+    m = seen(spark, base).select("*", F.explode("cells").alias("c")).select("target", "at_us", "c.cell", "n_strikes", *[f"c.{k}" for k in ("size", "clat", "clon", "spread_km", "age_min", "edge_km", "closing_kmh", "speed_kmh", "confidence")])
     six = {c: F.round(c, 6) for c in ("clat", "clon", "spread_km", "age_min", "edge_km")}
-    return m.withColumns(six | {"closing_kmh": F.round("closing_kmh", 4) + 0.0, "speed_kmh": F.round("speed_kmh", 4), "confidence": F.round("confidence", 5)}).drop("bearing", "ve", "vn")
+    return m.withColumns(six | {"closing_kmh": F.round("closing_kmh", 4) + 0.0, "speed_kmh": F.round("speed_kmh", 4), "confidence": F.round("confidence", 5)})
 
 
 _OUT = f"""{_NEAR}, s1 AS (SELECT *, CASE WHEN edge_km <= 3 THEN 'inside' WHEN closing_kmh < 0 THEN 'receding' WHEN closing_kmh < 5 THEN 'stalled' ELSE 'approaching' END AS state FROM mo),
