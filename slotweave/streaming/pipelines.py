@@ -143,36 +143,55 @@ PANE = "station_id string, pane_us long, n long, amount long, arrived_us long"
 _COLS = ["event_us", "arrival_us", "id", "amount"]
 
 
-def pane_step(cutoff_us: int) -> Callable:
-    """Keeps a pane's readings; emits its count and total whenever a batch changes them; forgets the pane when the watermark of arrival passes its cut-off."""
+def pane_step(cutoff_us: int, pane_us: int, block_us: int) -> Callable:
+    """Keeps the readings of a block of panes; emits count and total of every pane that a batch changes; forgets a pane when the watermark of arrival has passed its cut-off, with the last one the block."""
 
     def work(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        held = pd.DataFrame(dict(zip(_COLS, state.get))) if state.exists else pd.DataFrame({c: np.zeros(0, np.int64) for c in _COLS})
-        before = len(held), int(held["amount"].sum())
-        new = pd.concat([b[_COLS] for b in batches])
+        old = [np.asarray(x, np.int64) for x in state.get] if state.exists else [np.zeros(0, np.int64)] * len(_COLS)
+        rows = pd.concat([b[_COLS] for b in batches])
+        new = [rows[c].to_numpy(np.int64) for c in _COLS]
         # of a key's deliveries the one arrived last counts, then the greater id
-        held = pd.concat([held, new]).sort_values(["event_us", "arrival_us", "id"]).drop_duplicates("event_us", keep="last")
-        after = len(held), int(held["amount"].sum())
-        state.update(tuple(held[c].astype("int64").tolist() for c in _COLS))
-        state.setTimeoutTimestamp(max((int(key[1]) + cutoff_us) // 1000, state.getCurrentWatermarkMs() + 1))
-        if after != before:
-            yield pd.DataFrame([(key[0], int(key[1]), *after, int(new["arrival_us"].max()))], columns=["station_id", "pane_us", "n", "amount", "arrived_us"])
+        held = [np.concatenate(x) for x in zip(old, new)]
+        order = np.lexsort(held[2::-1])
+        order = order[np.r_[held[0][order][1:] != held[0][order][:-1], True]]
+        held = [x[order] for x in held]
+        panes, at = np.unique(new[0] // pane_us, return_inverse=True)
+
+        def totals(x: list[np.ndarray]) -> np.ndarray:
+            k = np.searchsorted(panes, x[0] // pane_us)
+            ok = panes[np.minimum(k, len(panes) - 1)] == x[0] // pane_us
+            out = np.zeros((2, len(panes)), np.int64)
+            np.add.at(out, (0, k[ok]), 1)
+            np.add.at(out, (1, k[ok]), x[3][ok])
+            return out
+
+        n, amount = totals(held)
+        changed = ((n, amount) != totals(old)).any(0)
+        arrived = np.full(len(panes), np.iinfo(np.int64).min)
+        np.maximum.at(arrived, at, new[1])
+        passed = state.getCurrentWatermarkMs()
+        open_ = held[0] // pane_us * pane_us + cutoff_us >= passed * 1000
+        state.update(tuple(x[open_].tolist() for x in held))
+        state.setTimeoutTimestamp(max((int(key[1]) + block_us - pane_us + cutoff_us) // 1000, passed + 1))
+        if changed.any():
+            yield pd.DataFrame({"station_id": key[0], "pane_us": panes[changed] * pane_us, "n": n[changed], "amount": amount[changed], "arrived_us": arrived[changed]})
 
     return work
 
 
-def live_panes(obs: DataFrame, pane_min: int = 60, cutoff_min: int = 1440) -> DataFrame:
+def live_panes(obs: DataFrame, pane_min: int = 60, cutoff_min: int = 1440, block: int = 24) -> DataFrame:
     """Hourly panes of rain as keyed state: only panes a batch touches are worked on and emitted; rows after the cut-off are dropped, and so is the state then.
 
-    The watermark is on arrival, so rows must come in order of it (but for ten minutes).
+    A state holds the panes of a ``block``, as a call costs more than a pane. The watermark is on arrival, so rows must come in order of it (but for ten minutes).
     """
     v, us = F.col("value").cast("double"), micros("observed_utc")
+    pane_us = pane_min * 60 * MICROS
     rows = obs.where("parameter_id = 'precip_past10min' and value is not null and not isnan(value) and station_id is not null and observed_utc is not null").select(
-        "station_id", floor_us(us, pane_min * 60 * MICROS).alias("pane_us"), us.alias("event_us"), F.coalesce(micros("created_utc"), us).alias("arrival_us"), F.col("obs_id").alias("id"), F.round(F.greatest(v, F.lit(0.0)) * 10).cast("long").alias("amount")
+        "station_id", floor_us(us, pane_us * block).alias("block_us"), us.alias("event_us"), F.coalesce(micros("created_utc"), us).alias("arrival_us"), F.col("obs_id").alias("id"), F.round(F.greatest(v, F.lit(0.0)) * 10).cast("long").alias("amount")
     )
-    reach = (pane_min + cutoff_min) * 60 * MICROS
-    rows = rows.where(F.col("arrival_us") <= F.col("pane_us") + F.lit(reach)).withColumn("arrived", instant(F.col("arrival_us"))).withWatermark("arrived", "10 minutes")
-    return rows.groupBy("station_id", "pane_us").applyInPandasWithState(pane_step(reach), PANE, PANE_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    reach = pane_us + cutoff_min * 60 * MICROS
+    rows = rows.where(F.col("arrival_us") <= floor_us(F.col("event_us"), pane_us) + F.lit(reach)).withColumn("arrived", instant(F.col("arrival_us"))).withWatermark("arrived", "10 minutes")
+    return rows.groupBy("station_id", "block_us").applyInPandasWithState(pane_step(reach, pane_us, pane_us * block), PANE, PANE_STATE, "append", GroupStateTimeout.EventTimeTimeout)

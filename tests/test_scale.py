@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from slotweave.operators import lightning, tracking
 from slotweave.plans import registry
+from slotweave.streaming import pipelines
 from tests.helpers import BASE, database, rows
 
 
@@ -74,3 +75,15 @@ def test_links_do_not_hang_on_the_parts(monkeypatch):
     assert pairs() == whole == {(i, j) for i in range(90) for j in range(i + 1, 90) if d[i, j] <= 15 or ids[i] == ids[j]}
     f = tracking.united(np.arange(6), np.array([5, 1]), np.array([3, 4]))
     assert tracking.united(f, np.array([4]), np.array([5])).tolist() == [0, 1, 2, 1, 1, 1]
+
+
+def test_live_panes_of_a_day_share_a_state(spark):
+    """Every pane is emitted on its own, but there is one state a station and day."""
+    t = 1_777_593_600_000_000  # midnight
+    df = spark.range(60).select(F.col("id").alias("obs_id"), F.lit("a").alias("station_id"), F.timestamp_micros(F.lit(t) + F.col("id") * 1_800_000_000).alias("observed_utc"), F.lit("precip_past10min").alias("parameter_id"), F.lit(0.1).alias("value"))
+    df = df.withColumn("created_utc", F.col("observed_utc"))
+    seen = []
+    e = pipelines.feed(df, F.unix_micros("created_utc"), pipelines.live_panes, parts=2, progress=seen)
+    last = {r.pane_us: (r.n, r.amount) for r in e.orderBy("batch").collect()}
+    assert last == {t + k * 3_600_000_000: (2, 2) for k in range(30)}
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in seen) <= 2
