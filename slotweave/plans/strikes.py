@@ -13,7 +13,6 @@ from slotweave.operators import verification as V
 from slotweave.plans.gauges import _ST, _WARN, present, warnings
 from slotweave.plans.fields import _BOX
 from slotweave.plans.scoring import _DRAW
-from slotweave.runtime import cut
 from slotweave.streaming.pipelines import scratch
 
 QUERIES: dict = {}
@@ -59,11 +58,6 @@ def seen(spark: SparkSession, base: str, few: bool = False) -> DataFrame:
     return tracking.seen(strikes(spark, base), targets, stride_min=STRIDE, buffer_min=STRIDE, least=LEAST, few=few)
 
 
-def members(spark: SparkSession, base: str) -> DataFrame:
-    targets = present(spark, base).withColumnRenamed("station_id", "target")
-    return L.cells(L.around(strikes(spark, base), targets, stride_min=STRIDE, buffer_min=STRIDE, least=LEAST))
-
-
 @query(
     f"""WITH RECURSIVE {_NEAR} SELECT target, at_us, cell, n_strikes, size, round(clat, 6) AS clat, round(clon, 6) AS clon, round(spread_km, 6) AS spread_km, round(age_min, 6) AS age_min, round(edge_km, 6) AS edge_km,
  round(closing_kmh, 4) + 0.0 AS closing_kmh, round(speed_kmh, 4) AS speed_kmh, round(confidence, 5) AS confidence FROM mo"""
@@ -87,7 +81,7 @@ ot AS (SELECT target, at_us, max(n_strikes) AS n_strikes, count(*) AS n_cells, a
 )
 def strike_outlook(spark: SparkSession, base: str) -> DataFrame:
     """The most threatening cell of every station and hour, and the soonest arrival over all cells."""
-    o = L.outlook(L.motion(members(spark, base)), RINGS)
+    o = L.outlook_of(seen(spark, base), RINGS)
     return o.withColumns({"edge_km": F.round("edge_km", 2), "closing_kmh": F.round("closing_kmh", 1) + 0.0}).drop("confidence")
 
 

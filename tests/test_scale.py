@@ -36,7 +36,7 @@ def repeated(tmp_path_factory):
     return str(to)
 
 
-@pytest.mark.parametrize("name", ["strike_backtest", "strike_entry", "strike_cells"])
+@pytest.mark.parametrize("name", ["strike_backtest", "strike_entry", "strike_cells", "strike_outlook"])
 def test_strikes_stay_apart_where_ids_repeat(spark, repeated, name):
     want = database(repeated).sql(registry.ORACLES[name]).arrow().read_all()
     assert want.num_rows and rows(registry.QUERIES[name](spark, repeated).toArrow()) == rows(want)
